@@ -81,10 +81,12 @@ def _blocks_of(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
 
 def _topk_blocks(queries: DataFrame, items: DataFrame, k: int, key: str) -> DataFrame:
     """Distributed product: every (item block, query block) of a key is one bounded task."""
+    # by column name: both tables may come from one source
     counts = _blocks_of(items, key, ITEM_BLOCK, "_ni").join(_blocks_of(queries, key, QUERY_BLOCK, "_nq"), key)
 
     def spread(rows: DataFrame, id_col: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        numbered = rows.join(counts, key).withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int"))
+        numbered = rows.join(counts.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key")).drop("_key")
+        numbered = numbered.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int"))
         return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_ni", "_nq")
 
     left = spread(items.select(key, "chunk_id", "embedding"), "chunk_id", "_ib", "_ni", "_qb", "_nq")
@@ -102,7 +104,8 @@ def _topk_blocks(queries: DataFrame, items: DataFrame, k: int, key: str) -> Data
         )
 
     keys = [key, "_ib", "_qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, HITS)
+    fresh = right.toDF(*right.columns)
+    return left.groupBy(*keys).cogroup(fresh.groupBy(*keys)).applyInPandas(run, HITS)
 
 
 def vector_topk(

@@ -19,20 +19,15 @@ PREPARED = (
 STATE = "prefecture string, city string, service_type string, service_known boolean, keywords array<string>"
 
 
-def start_prepare(spark: SparkSession, source: str, facilities: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """First stage: parse the own slots of arriving turns into ``out``."""
+def start_prepare(stream: DataFrame, facilities: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """First stage: parse the own slots of arriving turns (columns of :data:`TURNS`) into ``out``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         prepared = C.prepare_turns(batch, facilities)
         prepared.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
-    stream = spark.readStream.schema(TURNS).parquet(source)
-    return (
-        stream.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def resolve_stream(prepared: DataFrame, cover: C.Coverage) -> DataFrame:

@@ -15,11 +15,11 @@ DOCUMENTS = (
 )
 
 
-def start_imports(spark: SparkSession, source: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Apply every listing snapshot that arrived since the last run to ``out/documents``."""
+def start_imports(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Apply every listing row (columns of :data:`LISTING`) that arrived since the last run to ``out/documents``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        log = tables.read_log(spark, f"{out}/documents", DOCUMENTS, before=batch_id)
+        log = tables.read_log(batch.sparkSession, f"{out}/documents", DOCUMENTS, before=batch_id)
         documents = tables.newest_rows(log, "document_id")
         actions = catalogue.reconcile_import(catalogue.video_files(batch), documents)
         tables.write_version(actions, f"{out}/actions", batch_id)
@@ -27,13 +27,8 @@ def start_imports(spark: SparkSession, source: str, out: str, checkpoint: str) -
         changed = catalogue.apply_import(documents, actions).join(queued, "document_id", "left_semi")
         tables.write_version(changed, f"{out}/documents", batch_id)
 
-    stream = spark.readStream.schema(LISTING).parquet(source)
-    return (
-        stream.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def read_documents(spark: SparkSession, out: str) -> DataFrame:

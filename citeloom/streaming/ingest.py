@@ -67,9 +67,9 @@ def ingest_documents(
 
 
 def start_ingest(
-    spark: SparkSession, source: str, out: str, checkpoint: str, provider: embedding.Provider | None = None, **options
+    stream: DataFrame, out: str, checkpoint: str, provider: embedding.Provider | None = None, **options
 ) -> StreamingQuery:
-    """Ingest all raw rows (parquet, :data:`RAW_SCHEMA`) that arrived since the last run."""
+    """Ingest all raw rows (columns of :data:`RAW_SCHEMA`) that arrived since the last run."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         raw = batch.dropDuplicates(["document_id"])
@@ -78,13 +78,8 @@ def start_ingest(
         # runs last: a document counts only once its chunks are there
         tables.write_version(outcome, f"{out}/runs", batch_id)
 
-    stream = spark.readStream.schema(RAW_SCHEMA).parquet(source)
-    return (
-        stream.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def read_chunks(spark: SparkSession, out: str) -> DataFrame:

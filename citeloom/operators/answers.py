@@ -85,7 +85,7 @@ def prompt_context(contexts: DataFrame, text_chars: int = 2400) -> DataFrame:
         F.lit("[chunk_id="), F.col("chunk_id"),
         F.lit("]\nfile_name="), F.col("file_name"),
         F.lit("\nref="), F.col("ref"),
-        F.lit("\nscore="), F.format_string("%.3f", F.col("score")),
+        F.lit("\nscore="), F.format_number("score", 3),
         F.lit("\nsnippet="), F.col("snippet"),
         F.lit("\ntext="), F.substring("text", 1, text_chars),
     )

@@ -60,7 +60,7 @@ STRONG_SCORE, SEMANTIC_WEIGHT, HISTORY_TURNS = 2.0, 5.0, 6
 
 def search_blob() -> Column:
     return F.concat_ws(
-        " ", "name", "prefecture", "city", "service_type", "address", "business_hours", F.array_join("features", " ")
+        " ", "name", "prefecture", "city", "service_type", "address", "business_hours", "features"
     )
 
 
@@ -328,7 +328,7 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFra
     one = F.lit("all").alias("space")
     items = vectors.select(one, F.col("facility_id").alias("chunk_id"), "embedding")
     hits = vector_topk(queries.select(one, "query_id", "query_vec"), items, max(k, 3), key="space")
-    reason = F.concat(F.lit("意味類似: "), F.format_string("%.3f", F.col("score")))
+    reason = F.concat(F.lit("意味類似: "), F.format_number("score", 3))
     return hits.select("query_id", F.col("chunk_id").alias("facility_id"), "score", "rank", F.array(reason).alias("reasons"))
 
 
@@ -356,7 +356,7 @@ def merge_candidates(semantic: DataFrame, strong: DataFrame, k: int = 3) -> Data
 def semantic_recommend(semantic: DataFrame, k: int = 3) -> DataFrame:
     """Semantic-only recommendation; a query whose best score is not positive is rejected."""
     best = F.max("score").over(Window.partitionBy("query_id"))
-    label = F.concat(F.lit("意味類似スコア: "), F.format_string("%.3f", F.col("score")))
+    label = F.concat(F.lit("意味類似スコア: "), F.format_number("score", 3))
     return (
         semantic.filter(F.col("rank") <= k)
         .withColumn("accepted", best > 0)

@@ -132,7 +132,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
                CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS chunk_id, 'doc' || CAST(conv_id AS STRING) AS document_id,
                'ws' || CAST(conv_id % 4 AS STRING) AS workspace_id, 'talk-' || CAST(conv_id AS STRING) || '.pdf' AS file_name,
                'page' AS ref_type, 'p.' || CAST(turn + 1 AS STRING) AS ref, substr(text, 1, 60) AS snippet, text,
-               round(1.0 / (turn + 1 + conv_id % 7), 4) AS score, round(1.0 / (turn + 1 + conv_id % 9), 4) AS raw_score,
+               round(CAST(1 AS DOUBLE) / (turn + 1 + conv_id % 7), 4) AS score, round(CAST(1 AS DOUBLE) / (turn + 1 + conv_id % 9), 4) AS raw_score,
                CASE WHEN conv_id % 2 = 0 THEN 'drive://f' || CAST(conv_id AS STRING) ELSE 'k/' || CAST(conv_id AS STRING) END AS storage_key,
                'application/pdf' AS mime_type
         FROM conversations""",
@@ -197,8 +197,11 @@ _ORACLE_ONLY: dict[str, str] = {
 }
 
 
+_RECURSIVE = {"fold", "talk"}
+
+
 def _references(sql: str) -> Iterable[str]:
-    return set(re.findall(r"[a-z_]+", sql))
+    return set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "''", sql)))
 
 
 def _oracle_text(name: str) -> str:
@@ -224,7 +227,7 @@ def oracle(sql: str, **extra: str) -> str:
         return sql
     ctes = []
     for name in needed:
-        hint = "" if name == "fold" else "MATERIALIZED "
+        hint = "" if name in _RECURSIVE else "MATERIALIZED "
         ctes.append(f"{name} AS {hint}({known[name]})")
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + sql
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import links
 from citeloom.functions.text import strip
+from citeloom.session import staged
 
 MIN_SCORE = 0.15
 ATTEMPTS = 3
@@ -259,14 +260,14 @@ def answer_queries(
         .when(F.col("reply.broken"), "error")
         .otherwise("grounded")
     )
-    state = state.withColumn("kind", kind)
+    state = staged(state.withColumn("kind", kind))
 
     def of(name: str) -> DataFrame:
         return state.filter(F.col("kind") == name)
 
     grounded = citations(of("grounded"), usable)
     extractive = usable.join(of("extractive").select("query_id"), "query_id", "left_semi")
-    cites = validate_citations(grounded.unionByName(extractive_citations(extractive)), chunks)
+    cites = staged(validate_citations(grounded.unionByName(extractive_citations(extractive)), chunks))
     # a grounded or extractive answer that keeps no citation becomes a not-found answer
     cited = cites.select("query_id").distinct().withColumn("_cited", F.lit(True))
     final = state.join(cited, "query_id", "left").withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators import facilities as FC
+from citeloom.session import staged
 
 RESET = "/reset"
 RESOLVED = (
@@ -161,5 +162,5 @@ def answer_turns(resolved: DataFrame, facilities: DataFrame, k: int = 3) -> tupl
 
 def converse(turns: DataFrame, facilities: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Answers and candidates of whole conversations."""
-    resolved = fold_turns(prepare_turns(turns, facilities), coverage(facilities))
+    resolved = staged(fold_turns(prepare_turns(turns, facilities), coverage(facilities)))
     return answer_turns(resolved, facilities, k)

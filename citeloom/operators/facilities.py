@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text
 from citeloom.operators.matching import substring_pairs
 from citeloom.operators.vector_search import vector_topk
+from citeloom.session import staged
 
 # --- fixed values -----------------------------------------------------------
 SERVICE_SYNONYMS = {
@@ -221,34 +222,36 @@ def rule_topk(intents: DataFrame, facilities: DataFrame, k: int = 3) -> DataFram
 
     ``intents(query_id, query_text, prefecture, city, service_type, keywords)``.
     """
-    profiles = _profiles(facilities)
+    profiles = staged(_profiles(facilities))
     scoped = soft_filter(intents, facilities).withColumn(
         "q_mask", _mask([F.array_contains("keywords", word) for word in FEATURE_KEYWORDS])
     )
     # equal intents are scored once
-    shape = ["scope", "scope_kind", "prefecture", "q_mask"]
-    shapes = scoped.select(*shape).distinct()
+    parts = ["scope", "scope_kind", "prefecture", "q_mask"]
+    scoped = scoped.withColumn("shape", F.to_json(F.struct(*parts))).select("query_id", "query_text", "shape", *parts)
+    scoped = staged(scoped)
+    shapes = scoped.select("shape", *parts).distinct()
     scored = shapes.join(_classes(profiles, k), "scope").withColumn("score", _base_score())
-    order = Window.partitionBy(*shape).orderBy(F.desc("score"), "ordinal", "facility_id")
+    order = Window.partitionBy("shape").orderBy(F.desc("score"), "ordinal", "facility_id")
     base = scored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
-    same = [scoped[c].eqNullSafe(base[c]) for c in shape]
-    owned = scoped.join(base, reduce(lambda a, b: a & b, same)).select(
-        "query_id", "facility_id", "ordinal", "score", F.lit(False).alias("soft")
-    )
+    base = base.select("shape", "scope_kind", "facility_id", "ordinal", "score", F.lit(False).alias("soft"))
+    found = ["query_id", "facility_id", "ordinal", "score", "soft"]
+    owned = scoped.select("query_id", "shape").join(base, "shape").select(found)
     # facilities named in the question
-    asked = scoped.select("query_id", "query_text")
-    names = substring_pairs(asked, facilities.select("name"), "query_id", "query_text", "name", [])
+    names = substring_pairs(
+        scoped.select("query_id", "query_text"), facilities.select("name"), "query_id", "query_text", "name", []
+    )
     named = (
         scoped.join(names, "query_id")
         .join(_classes(profiles, k, "name"), ["scope", "name"])
-        .withColumn("score", _base_score() + NAME_SCORE)
-        .select("query_id", "facility_id", "ordinal", "score", F.lit(False).alias("soft"))
+        .withColumns({"score": _base_score() + NAME_SCORE, "soft": F.lit(False)})
+        .select(found)
     )
     # free words, only where nothing narrows the question and fewer than k facilities score
-    weak = owned.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("_hits")).filter(F.col("_hits") < k)
-    open_questions = scoped.filter("scope_kind = 'all'").join(weak.select("query_id"), "query_id", "left_semi")
-    words = open_questions.select(
-        "query_id", "prefecture", "q_mask", F.explode(text.soft_fragments(F.col("query_text"))).alias("fragment")
+    weak = base.filter("scope_kind = 'all'").groupBy("shape").agg(F.count_if(F.col("score") > 0).alias("_hits"))
+    weak = weak.filter(F.col("_hits") < k).select("shape")
+    words = scoped.join(weak, "shape").select(
+        "query_id", "shape", "prefecture", "q_mask", F.explode(text.soft_fragments(F.col("query_text"))).alias("fragment")
     )
     blobs = facilities.select("facility_id", search_blob().alias("blob"))
     inside = substring_pairs(blobs, words, "facility_id", "blob", "fragment", []).join(profiles, "facility_id")
@@ -257,9 +260,17 @@ def rule_topk(intents: DataFrame, facilities: DataFrame, k: int = 3) -> DataFram
         "fragment", "facility_id", "ordinal", F.col("prefecture").alias("f_prefecture"), F.col("mask").alias("f_mask")
     )
     unscored = (F.col("f_mask").bitwiseAND(F.col("q_mask")) == 0) & ~F.col("f_prefecture").eqNullSafe(F.col("prefecture"))
-    soft = words.join(inside, "fragment").filter(unscored).select(
-        "query_id", "facility_id", "ordinal", F.lit(SOFT_SCORE).alias("score"), F.lit(True).alias("soft")
+    lead = Window.partitionBy("shape", "fragment").orderBy("ordinal", "facility_id")
+    loose = (
+        words.select("shape", "prefecture", "q_mask", "fragment")
+        .distinct()
+        .join(inside, "fragment")
+        .filter(unscored)
+        .withColumn("_n", F.row_number().over(lead))
+        .filter(F.col("_n") <= k)
+        .select("shape", "fragment", "facility_id", "ordinal", F.lit(SOFT_SCORE).alias("score"), F.lit(True).alias("soft"))
     )
+    soft = words.select("query_id", "shape", "fragment").join(loose, ["shape", "fragment"]).select(found)
     every = owned.unionByName(named).unionByName(soft)
     best = every.groupBy("query_id", "facility_id", "ordinal").agg(
         F.max("score").alias("score"), F.max_by("soft", "score").alias("soft")

@@ -9,6 +9,7 @@ from citeloom.operators import conversation, embedding, facilities
 from citeloom.plans.ingest import joined
 from citeloom.plans.operations import _FEATURES
 from citeloom.plans.views import oracle, table, view
+from citeloom.session import staged
 from citeloom.sources.readers import strip
 
 QUERIES = {}
@@ -31,7 +32,7 @@ def asked(spark, sf):
 
 
 def _intents(spark, sf):
-    return facilities.parse_intent(asked(spark, sf), facility_table(spark, sf))
+    return staged(facilities.parse_intent(asked(spark, sf), facility_table(spark, sf)))
 
 
 _WORDS = ", ".join(f"'{w}'" for w in facilities.FEATURE_KEYWORDS)

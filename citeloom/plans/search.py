@@ -8,6 +8,7 @@ from citeloom.functions import links, text, vectors
 from citeloom.operators import embedding, retrieval, vector_search
 from citeloom.plans.ingest import _POSTINGS, DIM, _garbled, corpus_chunks
 from citeloom.plans.views import oracle, table, view
+from citeloom.session import staged
 
 QUERIES = {}
 ORACLES = {}
@@ -25,13 +26,13 @@ def query(fn):
 def stored_chunks(spark, sf):
     """Corpus chunks with the stored vector of (document id + chunk number)."""
     chunks = corpus_chunks(spark, sf).withColumn("vec_id", F.col("document_id").cast("bigint") + F.col("chunk_index"))
-    return embedding.attach_vectors(chunks, table(spark, sf, "embeddings"), ["vec_id"], DIM).drop("vec_id")
+    return staged(embedding.attach_vectors(chunks, table(spark, sf, "embeddings"), ["vec_id"], DIM).drop("vec_id"))
 
 
 def stored_queries(spark, sf):
     rows = view(spark, sf, "queries").withColumn("vec_id", F.col("item_id") * 31 + F.col("pos"))
     found = embedding.attach_vectors(rows, table(spark, sf, "embeddings"), ["vec_id"], DIM)
-    return found.withColumnRenamed("embedding", "query_vec").select("query_id", "workspace_id", "query_text", "query_vec")
+    return staged(found.withColumnRenamed("embedding", "query_vec").select("query_id", "workspace_id", "query_text", "query_vec"))
 
 
 def labelled(spark, sf):
@@ -199,7 +200,7 @@ ORACLES["searchable"] = search_oracle("SELECT chunk_id, workspace_id, document_i
 
 
 def _scope(spark, sf):
-    return retrieval.searchable(corpus_chunks(spark, sf), view(spark, sf, "docs"))
+    return retrieval.searchable(staged(corpus_chunks(spark, sf)), view(spark, sf, "docs"))
 
 
 @query

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a job needs whatever the cluster; sizes and counts stay with the cluster.
 SETTINGS = {
@@ -33,6 +35,24 @@ def local_session(name: str = "citeloom", cores: str | int = "*", memory: str =
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | None:
-    """The shared folder named by the cluster; ``default`` only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or default
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only where it names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="citeloom-"))
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back.
+
+    For a table that several later steps read: it is computed once, its lineage ends
+    at the files, and a lost executor re-reads them.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -6,6 +6,8 @@ Character classes are spelled out because the engines disagree on what
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 CONTROL_CLASS = r"\x00-\x08\x0b\x0c\x0e-\x1f"
 # Character pairs that show UTF-8 read as a single-byte code page.
 MOJIBAKE = r"Ã[^\n]|Â[^\n]|ã[^\n]|â[^\n]|ð[^\n]|\ufffd"
+MOJIBAKE_LEADS = "[ÃÂãâð\ufffd]"
 # Ordinary text: white space, ASCII, CJK punctuation, kana, kanji, full-width forms.
 ALLOWED_CLASS = WS_CLASS + r"\x20-\x7e\u3000-\u303f\u3040-\u309f\u30a0-\u30ff\u4e00-\u9fff\uff01-\uff5e"
 # IPA, Greek, Hebrew/Arabic, Indic: scripts that bad extraction produces.
@@ -37,6 +40,11 @@ TOKEN = r"[\p{L}\p{N}]+"
 # ----------------------------------------------------------------------------
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WS_CHARS))
 
@@ -59,34 +67,48 @@ def count_class(text: Column, char_class: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
 
 
+def _rare(text: Column) -> Column:
+    """What is left of a text without its printable ASCII: usually little, so later passes are short."""
+    return F.regexp_replace(text, r"[\t\n\r\x20-\x7e]+", "")
+
+
 def mojibake_hits(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(MOJIBAKE))
+    return F.when(text.rlike(MOJIBAKE_LEADS), F.regexp_count(text, F.lit(MOJIBAKE))).otherwise(F.lit(0))
 
 
 def decode_quality(text: Column) -> Column:
     """Penalty of a decoded text; lower is better."""
-    zero_bytes = count_class(text, r"\x00")
-    return count_class(text, CONTROL_CLASS) * 20 + zero_bytes * 30 + mojibake_hits(text) * 8
+    odd = bind(_rare(text), lambda r: count_class(r, CONTROL_CLASS) * 20 + count_class(r, r"\x00") * 30)
+    return odd + mojibake_hits(text) * 8
 
 
 def looks_like_mojibake(text: Column) -> Column:
-    hits, size = mojibake_hits(text), F.greatest(F.length(text), F.lit(1))
-    return (hits >= 8) | ((hits >= 3) & (hits / size >= 0.03))
+    size = F.greatest(F.length(text), F.lit(1))
+    return bind(mojibake_hits(text), lambda hits: (hits >= 8) | ((hits >= 3) & (hits / size >= 0.03)))
 
 
-def is_garbled(text: Column) -> Column:
-    size = F.greatest(F.length(text), F.lit(1))
-    allowed = count_class(text, ALLOWED_CLASS) / size
-    suspicious = count_class(text, SUSPICIOUS_CLASS)
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", False)
-        .when(looks_like_mojibake(text), True)
-        .when((count_class(text, CONTROL_CLASS) > 0) & (allowed < 0.85), True)
-        .when((suspicious >= 4) & (suspicious / size >= 0.05), True)
-        .otherwise(allowed < 0.45)
+def _odd_characters(rare: Column, size: Column) -> Column:
+    allowed = (size - F.length(rare) + count_class(rare, ALLOWED_CLASS)) / size
+    rates = F.struct(allowed.alias("allowed"), count_class(rare, SUSPICIOUS_CLASS).alias("suspicious"))
+    return bind(
+        rates,
+        lambda r: (r["allowed"] < 0.45)
+        | ((r["suspicious"] >= 4) & (r["suspicious"] / size >= 0.05))
+        | ((r["allowed"] < 0.85) & (count_class(rare, CONTROL_CLASS) > 0)),
     )
 
 
+def is_garbled(text: Column) -> Column:
+    """Text that decoding or extraction has damaged; never true for an empty text."""
+
+    def judge(t: Column) -> Column:
+        size = F.greatest(F.length(t), F.lit(1))
+        odd = bind(_rare(t), lambda r: F.when(r == "", False).otherwise(_odd_characters(r, size)))
+        return F.when(F.coalesce(t, F.lit("")) == "", False).when(looks_like_mojibake(t), True).otherwise(odd)
+
+    return bind(text, judge)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased letter/digit runs in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -98,12 +120,15 @@ def normalize_match(text: Column) -> Column:
 
 def query_fragments(query: Column) -> Column:
     """Fragments a file name may contain: the trimmed query, then the whole one."""
-    whole = normalize_match(query)
-    core = whole
-    for phrase in FILLER_PHRASES:
-        core = F.replace(core, F.lit(phrase), F.lit(""))
-    core = F.trim(core, F.lit(PARTICLES))
-    return F.array_distinct(F.filter(F.array(core, whole), lambda f: F.length(f) >= 2))
+
+    def pair(whole: Column) -> Column:
+        core = whole
+        for phrase in FILLER_PHRASES:
+            core = F.replace(core, F.lit(phrase), F.lit(""))
+        return F.array(F.trim(core, F.lit(PARTICLES)), whole)
+
+    both = bind(normalize_match(query), pair)
+    return F.array_distinct(F.filter(both, lambda f: F.length(f) >= 2))
 
 
 def significant_tokens(text: Column) -> Column:

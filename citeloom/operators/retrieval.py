@@ -63,13 +63,18 @@ def _cover_density(words: Column, terms: Column) -> Column:
 
     def step(acc: Column, hit: Column) -> Column:
         here = F.struct(hit["pos"].alias("pos"), acc["nth"].alias("nth"))
-        last = F.transform(acc["last"], lambda x, i: F.when(i == hit["term"] - 1, here).otherwise(x))
-        first = F.array_min(last)
+        latest = F.transform(acc["last"], lambda x, i: F.when(i == hit["term"] - 1, here).otherwise(x))
+        return text.bind(
+            F.struct(latest.alias("last"), F.array_min(latest).alias("first")), lambda now: advance(acc, hit, now)
+        )
+
+    def advance(acc: Column, hit: Column, now: Column) -> Column:
+        first = now["first"]
         fresh = (first["pos"] >= 0) & (first["pos"] != acc["counted"])
         others = (hit["pos"] - first["pos"]) - (acc["nth"] - first["nth"])
         gain = F.when(fresh, F.lit(0.1) / (others + 1)).otherwise(F.lit(0.0))
         return F.struct(
-            last.alias("last"),
+            now["last"].alias("last"),
             F.when(fresh, first["pos"]).otherwise(acc["counted"]).alias("counted"),
             (acc["nth"] + 1).alias("nth"),
             (acc["score"] + gain).alias("score"),
@@ -182,15 +187,11 @@ def fuse(candidates: DataFrame) -> DataFrame:
     return fused.select("query_id", "chunk_id", "score", "raw_score", "_first.source_order", "_first.source_rank")
 
 
-def alignment_bonus(query: Column, file_name: Column, section: Column, snippet: Column) -> Column:
-    asked = text.normalize_match(query)
-    title = text.normalize_match(files.stem(file_name))
-    heading = text.normalize_match(section)
-    parts = F.filter(F.array(title, heading, text.normalize_match(snippet)), lambda p: p != "")
-    haystack = F.array_join(parts, " ")
-    words = text.significant_tokens(asked)
-    hits = F.size(F.filter(words, lambda w: haystack.contains(w)))
-    in_title = (title != "") & (asked.contains(title) | F.exists(words, lambda w: title.contains(w)))
+def _alignment(m: Column) -> Column:
+    """Bonus from normalised query ``asked``, ``title``, ``heading``, ``haystack`` and query ``words``."""
+    title, heading, words = m["title"], m["heading"], m["words"]
+    hits = F.size(F.filter(words, lambda w: m["haystack"].contains(w)))
+    in_title = (title != "") & (m["asked"].contains(title) | F.exists(words, lambda w: title.contains(w)))
     in_heading = (heading != "") & F.exists(words, lambda w: heading.contains(w))
     bonus = (
         F.least(F.lit(HIT_CAP), hits * HIT_BONUS)
@@ -200,6 +201,28 @@ def alignment_bonus(query: Column, file_name: Column, section: Column, snippet:
     return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.least(F.lit(BONUS_CAP), bonus))
 
 
+def alignment_bonus(query: Column, file_name: Column, section: Column, snippet: Column) -> Column:
+    normal = F.struct(
+        text.normalize_match(query).alias("asked"),
+        text.normalize_match(files.stem(file_name)).alias("title"),
+        text.normalize_match(section).alias("heading"),
+        text.normalize_match(snippet).alias("short"),
+    )
+
+    def matched(n: Column) -> Column:
+        parts = F.filter(F.array(n["title"], n["heading"], n["short"]), lambda p: p != "")
+        whole = F.struct(
+            n["asked"].alias("asked"),
+            n["title"].alias("title"),
+            n["heading"].alias("heading"),
+            F.array_join(parts, " ").alias("haystack"),
+            text.significant_tokens(n["asked"]).alias("words"),
+        )
+        return text.bind(whole, _alignment)
+
+    return text.bind(normal, matched)
+
+
 def garble_penalty(file_name: Column, snippet: Column, body: Column) -> Column:
     shown = F.concat_ws("\n", file_name, snippet, F.substring(body, 1, 800))
     return F.when(text.is_garbled(shown), F.lit(GARBLE_PENALTY)).otherwise(F.lit(0.0))

@@ -237,8 +237,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the given tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A view over the given tables; ``given`` frames (a stream, say) stand in for tables of their name."""
     text = VIEWS[name]
     sql = text[0] if isinstance(text, tuple) else text
     sql = sql.replace(", 'g')", ")")  # Spark replaces every match without being told
@@ -247,6 +247,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", sql)
     # braces of JSON text are not placeholders
     sql = re.sub(r"(\{(?:%s)\})|[{}]" % "|".join(names), lambda m: m.group(1) or m.group(0) * 2, sql)
-    frames = {n: view(spark, sf_dir, n) if n in VIEWS else table(spark, sf_dir, n) for n in names}
+    frames = {
+        n: given[n] if n in given else view(spark, sf_dir, n, **given) if n in VIEWS else table(spark, sf_dir, n)
+        for n in names
+    }
     return spark.sql(sql, **frames)
 

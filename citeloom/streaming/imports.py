@@ -19,13 +19,14 @@ def start_imports(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     """Apply every listing row (columns of :data:`LISTING`) that arrived since the last run to ``out/documents``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        log = tables.read_log(batch.sparkSession, f"{out}/documents", DOCUMENTS, before=batch_id)
+        version = batch_id + 1  # version 0 is the table before the first batch
+        log = tables.read_log(batch.sparkSession, f"{out}/documents", DOCUMENTS, before=version)
         documents = tables.newest_rows(log, "document_id")
         actions = catalogue.reconcile_import(catalogue.video_files(batch), documents)
-        tables.write_version(actions, f"{out}/actions", batch_id)
+        tables.write_version(actions, f"{out}/actions", version)
         queued = actions.filter("action <> 'skip'").select("document_id")
         changed = catalogue.apply_import(documents, actions).join(queued, "document_id", "left_semi")
-        tables.write_version(changed, f"{out}/documents", batch_id)
+        tables.write_version(changed, f"{out}/documents", version)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

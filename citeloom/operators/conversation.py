@@ -110,7 +110,8 @@ def turn_records(pdf: pd.DataFrame) -> list[dict]:
 
 
 def resolved_frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS)
+    # plain objects throughout: a column of missing values must not turn into floats
+    return pd.DataFrame([[row.get(c) for c in _COLUMNS] for row in rows], columns=_COLUMNS, dtype=object)
 
 
 def prepare_turns(turns: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -138,7 +139,8 @@ def fold_turns(prepared: DataFrame, cover: Coverage) -> DataFrame:
                     owner, state = turn["conv_id"], Slots()
                 state, resolved = advance(state, turn, cover)
                 rows.append(resolved)
-            yield resolved_frame(rows)
+            if rows:
+                yield resolved_frame(rows)
 
     ordered = prepared.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     return ordered.mapInPandas(run, RESOLVED)

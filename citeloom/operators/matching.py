@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text
+from citeloom.session import staged
 
 GRAM = 3
+#: Rows a key table may have to be broadcast; each is a few short strings.
+BROADCAST_ROWS = 500_000
 
 
 def rarest_key(wanted: DataFrame, frequency: DataFrame, owner: list[str], key: list[str]) -> DataFrame:
@@ -26,30 +29,47 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread: Col
 
     ``large`` is split by a hash of ``spread``; ``small`` is repeated once per salt.
     """
-    left = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    # a shuffle join: the large side must not become a hash table
+    left = large.hint("merge").withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def fits_broadcast(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``limit`` rows; reads no more than that."""
+    return rows.limit(limit + 1).count() <= limit
+
+
 def substring_pairs(
-    texts: DataFrame, terms: DataFrame, text_id: str, text_col: str, term_col: str, by: list[str], salts: int = 8
+    texts: DataFrame,
+    terms: DataFrame,
+    text_id: str,
+    text_col: str,
+    term_col: str,
+    by: list[str],
+    salts: int = 8,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Distinct ``(*by, text_id, term)`` with the term contained in the text.
 
     ``texts(*by, text_id, text_col)`` and ``terms(*by, term_col)``. Each term is looked
-    up by its rarest ``GRAM``-character substring (the term itself when shorter).
+    up by its rarest ``GRAM``-character substring (the term itself when shorter). Up to
+    ``broadcast_rows`` terms the texts are read in place; beyond that both sides shuffle.
     """
     terms = terms.select(*by, term_col).filter(F.length(term_col) > 0).distinct()
     short = [F.when(F.length(term_col) == n, F.array(term_col)) for n in range(1, GRAM)]
-    wanted = terms.withColumn("_gram", F.explode(F.coalesce(*short, text.grams(F.col(term_col), GRAM))))
+    wanted = staged(terms.withColumn("_gram", F.explode(F.coalesce(*short, text.grams(F.col(term_col), GRAM)))))
     needed = wanted.select(*by, "_gram").distinct()
     # gram lengths shorter than GRAM only serve terms that short; the semi join drops the rest
-    sizes = [text.grams(F.col(text_col), n) for n in range(1, GRAM + 1)]
-    offered = texts.select(*by, text_id, F.explode(F.concat(*sizes)).alias("_gram"))
-    offered = offered.join(needed, [*by, "_gram"], "left_semi")
+    grams = F.explode(F.concat(*[text.grams(F.col(text_col), n) for n in range(1, GRAM + 1)])).alias("_gram")
+    offered = texts.select(*by, text_id, grams).join(needed, [*by, "_gram"], "left_semi")
     frequency = offered.groupBy(*by, "_gram").agg(F.count("*").alias("df"))
-    anchors = rarest_key(wanted, frequency, [*by, term_col], [*by, "_gram"])
-    candidates = salted_join(offered, anchors, [*by, "_gram"], F.col(text_id), salts)
-    body = texts.select(*by, text_id, F.col(text_col).alias("_text"))
-    verified = candidates.join(body, [*by, text_id]).filter(F.col("_text").contains(F.col(term_col)))
-    return verified.select(*by, text_id, term_col)
+    anchors = staged(rarest_key(wanted, frequency, [*by, term_col], [*by, "_gram"]))
+    if fits_broadcast(anchors, broadcast_rows):
+        carried = texts.select(*by, text_id, F.col(text_col).alias("_text"), grams)
+        candidates = carried.join(F.broadcast(anchors), [*by, "_gram"])
+    else:
+        found = salted_join(offered, anchors, [*by, "_gram"], F.col(text_id), salts)
+        body = texts.select(*by, text_id, F.col(text_col).alias("_text"))
+        candidates = found.join(body, [*by, text_id])
+    return candidates.filter(F.col("_text").contains(F.col(term_col))).select(*by, text_id, term_col)

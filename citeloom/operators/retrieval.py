@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import files, links, text
 from citeloom.operators import matching
 from citeloom.operators.vector_search import vector_topk
+from citeloom.session import staged
 
 SOURCES = {"vector": 0, "keyword": 1, "title": 2}
 BONUS_CAP, HIT_BONUS, HIT_CAP, TITLE_BONUS, SECTION_BONUS = 0.45, 0.06, 0.24, 0.18, 0.06
@@ -83,22 +84,34 @@ def _cover_density(words: Column, terms: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["score"])
 
 
-def _keyword_sets(queries: DataFrame, chunks: DataFrame, index: DataFrame | None, salts: int) -> DataFrame:
-    """Scored matches per distinct ``(workspace, term set)``: equal questions are searched once."""
-    sets = _term_sets(queries).select("workspace_id", "terms").distinct()
-    index = term_index(chunks) if index is None else index
+def _keyword_sets(
+    queries: DataFrame, chunks: DataFrame, index: DataFrame | None, salts: int, broadcast_rows: int
+) -> DataFrame:
+    """Scored matches per distinct ``(workspace, term set)``: equal questions are searched once.
+
+    The rarest term of a set finds its candidate chunks. Up to ``broadcast_rows`` sets
+    the chunks are read in place; beyond that, or with a stored ``index``, by joins.
+    """
+    sets = staged(_term_sets(queries).select("workspace_id", "terms").distinct())
     wanted = sets.withColumn("term", F.explode("terms"))
-    # the index terms that some query uses, counted per workspace
     asked = wanted.select("workspace_id", "term").distinct()
-    offered = index.join(asked, ["workspace_id", "term"], "left_semi")
+    # the indexed terms that some query uses, counted per workspace
+    offered = (term_index(chunks) if index is None else index).join(asked, ["workspace_id", "term"], "left_semi")
     frequency = offered.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
-    anchors = matching.rarest_key(wanted, frequency, ["workspace_id", "terms"], ["workspace_id", "term"])
-    candidates = matching.salted_join(
-        offered, anchors, ["workspace_id", "term"], F.col("chunk_id"), salts
-    ).select("workspace_id", "chunk_id", "terms")
-    words = chunks.select("workspace_id", "chunk_id", F.col("text").alias("_text"))
-    found = candidates.join(words, ["workspace_id", "chunk_id"])
-    found = found.withColumn("words", text.tokens(F.col("_text"))).drop("_text")
+    anchors = staged(
+        matching.rarest_key(wanted, frequency, ["workspace_id", "terms"], ["workspace_id", "term"])
+    )
+    small = matching.fits_broadcast(anchors, broadcast_rows)
+    words = chunks.select("workspace_id", "chunk_id", text.tokens(F.col("text")).alias("words"))
+    if small and index is None:
+        terms = words.withColumn("term", F.explode(F.array_distinct("words")))
+        found = terms.join(F.broadcast(anchors), ["workspace_id", "term"])
+    else:
+        if small:
+            candidates = offered.join(F.broadcast(anchors), ["workspace_id", "term"])
+        else:
+            candidates = matching.salted_join(offered, anchors, ["workspace_id", "term"], F.col("chunk_id"), salts)
+        found = candidates.select("workspace_id", "chunk_id", "terms").join(words, ["workspace_id", "chunk_id"])
     matched = found.filter(F.size(F.array_except("terms", "words")) == 0)
     return matched.select(
         "workspace_id",
@@ -108,18 +121,30 @@ def _keyword_sets(queries: DataFrame, chunks: DataFrame, index: DataFrame | None
     )
 
 
-def keyword_match(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None, salts: int = 8) -> DataFrame:
+def keyword_match(
+    queries: DataFrame,
+    chunks: DataFrame,
+    index: DataFrame | None = None,
+    salts: int = 8,
+    broadcast_rows: int = matching.BROADCAST_ROWS,
+) -> DataFrame:
     """All chunks of the query's workspace holding every query token, with their cover density."""
-    scored = _keyword_sets(queries, chunks, index, salts)
+    scored = _keyword_sets(queries, chunks, index, salts, broadcast_rows)
     asked = _term_sets(queries).select("query_id", "workspace_id", "terms")
     return asked.join(scored, ["workspace_id", "terms"]).select("query_id", "chunk_id", "score")
 
 
 def keyword_topk(
-    queries: DataFrame, chunks: DataFrame, k: int = 30, index: DataFrame | None = None, salts: int = 8
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = 30,
+    index: DataFrame | None = None,
+    salts: int = 8,
+    broadcast_rows: int = matching.BROADCAST_ROWS,
 ) -> DataFrame:
     order = Window.partitionBy("workspace_id", "terms").orderBy(F.desc("score"), "chunk_id")
-    scored = _keyword_sets(queries, chunks, index, salts).withColumn("rank", F.row_number().over(order))
+    scored = _keyword_sets(queries, chunks, index, salts, broadcast_rows)
+    scored = scored.withColumn("rank", F.row_number().over(order))
     asked = _term_sets(queries).select("query_id", "workspace_id", "terms")
     best = scored.filter(F.col("rank") <= k)
     return asked.join(best, ["workspace_id", "terms"]).select("query_id", "chunk_id", "score", "rank")

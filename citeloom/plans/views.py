@@ -12,9 +12,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.functions.text import LINE_BREAK, WS_CHARS, WS_CLASS
+from citeloom.session import spread
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 100
+_SPREAD = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "conversations": "conv_id", "embeddings": "vec_id"}
 NL = "\n"
 
 
@@ -233,8 +235,9 @@ def oracle(sql: str, **extra: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the wide ones are spread when they come as one small file."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _SPREAD[name]) if name in _SPREAD else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:

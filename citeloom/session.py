@@ -35,6 +35,13 @@ def local_session(name: str = "citeloom", cores: str | int = "*", memory: str =
     return spark
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores; no shuffle otherwise."""
+    if rows.rdd.getNumPartitions() >= rows.sparkSession.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 _OWN: dict[str, str] = {}
 
 

@@ -6,10 +6,11 @@ no shuffle, and order is the array position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import files, text
+from citeloom.operators.running import running_last
 
 
 def line_array(value: Column) -> Column:
@@ -53,11 +54,9 @@ def paragraph_blocks(paragraphs: DataFrame) -> DataFrame:
     """Blocks of a ``document_id, ordinal, style, text`` table, under their last heading."""
     body = paragraphs.withColumn("text", text.strip(F.col("text"))).filter("text <> ''")
     heading = F.lower(F.coalesce(F.col("style"), F.lit(""))).startswith("heading")
-    order = Window.partitionBy("document_id").orderBy("ordinal")
-    seen = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(order)
+    titled = running_last(body, ["document_id"], [F.col("ordinal")], F.when(heading, F.col("text")), "section_title")
     return (
-        body.withColumn("section_title", seen)
-        .filter(~heading)
+        titled.filter(~heading)
         .select("document_id", "ordinal", "text", "section_title")
     )
 

@@ -5,10 +5,11 @@ Every change returns new tables; :mod:`citeloom.sources.tables` writes them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import files, text
+from citeloom.operators.running import running_number
 
 IMPORT_TAGS = ["google-drive", "folder-import"]
 STATUSES = ["processing", "ready", "failed"]
@@ -55,15 +56,14 @@ def delete_workspaces(tables: Tables, ids: DataFrame) -> tuple[Tables, DataFrame
 
 
 def list_documents(documents: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """Documents of the given workspaces, newest first in each."""
+    """Documents of the given workspaces, newest first in each: one range sort."""
     chosen = documents.join(workspaces.select("workspace_id"), "workspace_id", "left_semi")
-    order = Window.partitionBy("workspace_id").orderBy(F.desc("created_at"), "document_id")
-    return chosen.withColumn("position", F.row_number().over(order))
+    return chosen.orderBy("workspace_id", F.desc("created_at"), "document_id")
 
 
 def docs_by_update(documents: DataFrame) -> DataFrame:
-    order = Window.partitionBy("workspace_id").orderBy(F.desc("updated_at"), "document_id")
-    return documents.withColumn("position", F.row_number().over(order))
+    """Documents of each workspace, last updated first."""
+    return documents.orderBy("workspace_id", F.desc("updated_at"), "document_id")
 
 
 def get_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
@@ -189,8 +189,7 @@ def latest_report(runs: DataFrame) -> DataFrame:
 
 def run_history(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """All runs of each document, newest first; documents without a run stay."""
-    order = Window.partitionBy("document_id").orderBy(F.desc("started_at"), F.desc("run_id"))
-    numbered = runs.withColumn("run_no", F.row_number().over(order))
+    numbered = running_number(runs, ["document_id"], [F.desc("started_at"), F.desc("run_id")], "run_no")
     return documents.select("document_id", "file_name", "status").join(numbered, "document_id", "left")
 
 
@@ -289,7 +288,6 @@ def reconcile_import(listing: DataFrame, documents: DataFrame) -> DataFrame:
     workspace acts once, at its first position; later ones are skipped.
     """
     file_id = text.strip(F.coalesce("id", F.lit("")))
-    order = Window.partitionBy("workspace_id", "file_id").orderBy("item_no")
     name = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.concat(F.lit("drive-file-"), F.col("file_id")))
     items = (
         listing.withColumn("file_id", file_id)
@@ -297,9 +295,7 @@ def reconcile_import(listing: DataFrame, documents: DataFrame) -> DataFrame:
         .withColumn("mime_type", files.resolve_mime(F.col("file_name"), F.col("mimeType")))
         .withColumn("storage_key", F.concat(F.lit(files.DRIVE), "file_id"))
     )
-    # blank ids never reach the window: many of them must not form one group
-    blank = items.filter("file_id = ''").withColumn("_nth", F.lit(1))
-    named = items.filter("file_id <> ''").withColumn("_nth", F.row_number().over(order))
+    first = items.filter("file_id <> ''").groupBy("workspace_id", "file_id").agg(F.min("item_no").alias("_first"))
     known = documents.select(
         "workspace_id",
         "storage_key",
@@ -307,10 +303,10 @@ def reconcile_import(listing: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("status").alias("known_status"),
         F.col("tags").alias("known_tags"),
     )
-    joined = named.join(known, ["workspace_id", "storage_key"], "left").unionByName(blank, allowMissingColumns=True)
+    joined = items.join(first, ["workspace_id", "file_id"], "left").join(known, ["workspace_id", "storage_key"], "left")
     action = (
         F.when(F.col("file_id") == "", "skip")
-        .when(F.col("_nth") > 1, "skip")
+        .when(F.col("item_no") > F.col("_first"), "skip")
         .when(F.col("known_id").isNull(), "insert")
         .when(F.col("known_status") == "failed", "requeue")
         .otherwise("skip")

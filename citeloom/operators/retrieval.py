@@ -179,10 +179,11 @@ def title_topk(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: i
 
 def minmax(scored: DataFrame, by: list[str]) -> DataFrame:
     """Add ``norm``: scores scaled to [0, 1] per group, 1 when all are equal."""
-    group = Window.partitionBy(*by)
-    low, high = F.min("score").over(group), F.max("score").over(group)
+    # bounds first, with map-side combine: a window would hold a whole group in one task
+    bounds = scored.groupBy(*by).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
     span = F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / F.nullif(high - low, F.lit(0.0)))
-    return scored.withColumn("norm", span)
+    return scored.join(bounds, by).withColumn("norm", span).drop("_low", "_high")
 
 
 def tag_sources(vector: DataFrame, keyword: DataFrame, title: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def tag_sources(vector: DataFrame, keyword: DataFrame, title: DataFrame) -> Data
 
 def fuse(candidates: DataFrame) -> DataFrame:
     """Best normalised and best raw score of each (query, chunk) over its sources."""
-    normed = minmax(candidates, ["query_id", "source"])
+    normed = minmax(staged(candidates), ["query_id", "source"])
     is_title, is_vector = F.col("source") == "title", F.col("source") == "vector"
     score = F.when(is_title, F.greatest("norm", "score")).otherwise(F.col("norm"))
     clamped = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))

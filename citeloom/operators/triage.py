@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import files, text
+from citeloom.operators.running import running_sum
 
 FAIL_REASON = "image_only_or_no_text"
 
@@ -25,15 +26,10 @@ def _judged(pages: DataFrame, min_chars: int) -> DataFrame:
 
 def apply_ocr_budget(pages: DataFrame, max_pages: int = 20, min_chars: int = 40) -> DataFrame:
     """Keep ``ocr_text`` on the first ``max_pages`` pages of a document that need it."""
-    order = Window.partitionBy("document_id").orderBy("page")
-    attempt = F.sum(F.col("is_low").cast("int")).over(order)
-    allowed = F.col("is_low") & (attempt <= max_pages)
-    return (
-        _judged(pages, min_chars)
-        .withColumn("_allowed", allowed)
-        .withColumn("ocr_text", F.when(F.col("_allowed"), F.col("ocr_text")))
-        .select(*pages.columns)
-    )
+    low = F.col("is_low").cast("int")
+    tried = running_sum(_judged(pages, min_chars), ["document_id"], [F.col("page")], low, "_attempt")
+    allowed = F.col("is_low") & (F.col("_attempt") <= max_pages)
+    return tried.withColumn("ocr_text", F.when(allowed, F.col("ocr_text"))).select(*pages.columns)
 
 
 def triage_pages(pages: DataFrame, min_chars: int = 40) -> DataFrame:

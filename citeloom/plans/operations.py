@@ -176,20 +176,18 @@ ORACLES["delete_workspaces"] = _sizes_sql("workspace_id = 'ws1'", "workspace_id
 @query
 def list_documents(spark, sf):
     out = catalogue.list_documents(documents(spark, sf), view(spark, sf, "workspaces"))
-    return out.select("workspace_id", "document_id", "position")
+    return out.select("workspace_id", "document_id", "created_at")
 
 
-ORACLES["list_documents"] = oracle("""
-    SELECT workspace_id, document_id, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, document_id) AS INT) AS position FROM docs""")
+ORACLES["list_documents"] = oracle("SELECT workspace_id, document_id, created_at FROM docs ORDER BY workspace_id, created_at DESC, document_id")
 
 
 @query
 def docs_by_update(spark, sf):
-    return catalogue.docs_by_update(documents(spark, sf)).select("workspace_id", "document_id", "position")
+    return catalogue.docs_by_update(documents(spark, sf)).select("workspace_id", "document_id", "updated_at")
 
 
-ORACLES["docs_by_update"] = oracle("""
-    SELECT workspace_id, document_id, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY updated_at DESC, document_id) AS INT) AS position FROM docs""")
+ORACLES["docs_by_update"] = oracle("SELECT workspace_id, document_id, updated_at FROM docs ORDER BY workspace_id, updated_at DESC, document_id")
 
 
 def _asked_keys(spark, sf):

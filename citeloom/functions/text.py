@@ -154,7 +154,7 @@ def grams(text: Column, size: int) -> Column:
 def merge_tags(*tags: Column) -> Column:
     """Sorted distinct union of tag arrays."""
     none = F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(t, none) for t in tags])))
+    return F.sort_array(F.array_distinct(F.concat(*[F.coalesce(t, none) for t in tags])))
 
 
 def tag_list(*pairs: tuple[Column, str]) -> Column:

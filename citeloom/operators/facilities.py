@@ -87,7 +87,7 @@ def longest_match(queries: DataFrame, terms: DataFrame, term_col: str) -> DataFr
 
 def feature_keywords(query: Column) -> Column:
     every = F.array(*[F.lit(k) for k in FEATURE_KEYWORDS])
-    return F.array_sort(F.filter(every, lambda k: query.contains(k)))
+    return F.sort_array(F.filter(every, lambda k: query.contains(k)))
 
 
 def contact_requested(query: Column) -> Column:
@@ -137,7 +137,7 @@ def merge_state(intents: DataFrame, states: DataFrame) -> DataFrame:
     for slot in slots:
         joined = joined.withColumn(slot, F.coalesce(slot, f"_{slot}"))
     none = F.array().cast("array<string>")
-    both = F.array_sort(F.array_union("keywords", F.coalesce("_keywords", none)))
+    both = F.sort_array(F.array_union("keywords", F.coalesce("_keywords", none)))
     return joined.withColumn("keywords", both).select(*intents.columns)
 
 

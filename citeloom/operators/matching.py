@@ -15,6 +15,8 @@ from citeloom.session import staged
 GRAM = 3
 #: Rows a key table may have to be broadcast; each is a few short strings.
 BROADCAST_ROWS = 500_000
+#: Dictionaries up to this size are tried term by term.
+FEW_TERMS = 64
 
 
 def rarest_key(wanted: DataFrame, frequency: DataFrame, owner: list[str], key: list[str]) -> DataFrame:
@@ -55,13 +57,21 @@ def substring_pairs(
     ``texts(*by, text_id, text_col)`` and ``terms(*by, term_col)``. Each term is looked
     up by its rarest ``GRAM``-character substring (the term itself when shorter). Up to
     ``broadcast_rows`` terms the texts are read in place; beyond that both sides shuffle.
+    A dictionary of a few terms is tried term by term instead.
     """
     terms = terms.select(*by, term_col).filter(F.length(term_col) > 0).distinct()
+    if not by and broadcast_rows:
+        few = [r[0] for r in terms.limit(FEW_TERMS + 1).collect()]
+        if len(few) <= FEW_TERMS:
+            every = F.array(*[F.lit(t) for t in sorted(few)]).cast("array<string>")
+            inside = F.filter(every, lambda t: F.col(text_col).contains(t))
+            return texts.select(text_id, F.explode(inside).alias(term_col))
     short = [F.when(F.length(term_col) == n, F.array(term_col)) for n in range(1, GRAM)]
     wanted = staged(terms.withColumn("_gram", F.explode(F.coalesce(*short, text.grams(F.col(term_col), GRAM)))))
     needed = wanted.select(*by, "_gram").distinct()
-    # gram lengths shorter than GRAM only serve terms that short; the semi join drops the rest
-    grams = F.explode(F.concat(*[text.grams(F.col(text_col), n) for n in range(1, GRAM + 1)])).alias("_gram")
+    # only the gram lengths that occur: shorter ones serve terms that short
+    sizes = sorted(r[0] for r in wanted.select(F.length("_gram")).distinct().collect())
+    grams = F.explode(F.concat(*[text.grams(F.col(text_col), n) for n in sizes or [GRAM]])).alias("_gram")
     offered = texts.select(*by, text_id, grams).join(needed, [*by, "_gram"], "left_semi")
     frequency = offered.groupBy(*by, "_gram").agg(F.count("*").alias("df"))
     anchors = staged(rarest_key(wanted, frequency, [*by, term_col], [*by, "_gram"]))

@@ -43,7 +43,7 @@ def term_index(chunks: DataFrame) -> DataFrame:
 
 
 def _term_sets(queries: DataFrame) -> DataFrame:
-    terms = F.array_sort(F.array_distinct(text.tokens(F.col("query_text"))))
+    terms = F.sort_array(F.array_distinct(text.tokens(F.col("query_text"))))
     return queries.withColumn("terms", terms).filter(F.size("terms") > 0)
 
 

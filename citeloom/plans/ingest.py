@@ -440,10 +440,45 @@ def chunk_scans(spark, sf):
     report = triage.parse_report(pages, view(spark, sf, "scan_ocr"))
     rows = triage.page_blocks(pages, report).withColumn("workspace_id", F.lit("ws0"))
     out = chunking.build_chunks(chunking.build_units(rows, 300), 300, 40)
-    return out.groupBy("document_id").agg(
-        F.count("*").alias("chunks"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"),
-        F.max("section_title").alias("section_title"),
-    )
+    return out.select("document_id", "chunk_index", "text", "page_start", "page_end", "section_title")
+
+
+_SCAN_VIEWS = {
+    "judged": _JUDGED,
+    "triaged": _TRIAGED,
+    "reported": _REPORTED,
+    "scan_blocks": """
+        SELECT document_id, page AS block_no, text, page, CAST(NULL AS VARCHAR) AS section FROM triaged WHERE outcome <> 'failed'
+        UNION ALL SELECT document_id, 0, doc_text, NULL, 'Document OCR' FROM reported WHERE doc_text IS NOT NULL""",
+    "scan_paras": f"""
+        SELECT document_id, block_no, page, section, pos, trim(s, '{text.WS_CHARS}') AS p
+        FROM (SELECT *, unnest(range(len(a))) AS pos, unnest(a) AS s
+              FROM (SELECT *, string_split(replace(replace(text, '\r\n', '\n'), '\r', '\n'), '\n\n') AS a FROM scan_blocks))
+        WHERE trim(s, '{text.WS_CHARS}') <> ''""",
+    "scan_units": f"""
+        SELECT document_id, page, section, unit, row_number() OVER (PARTITION BY document_id ORDER BY block_no, pos, n) AS unit_no
+        FROM (SELECT *, trim(substr(p, n * 300 + 1, 300), '{text.WS_CHARS}') AS unit
+              FROM (SELECT *, unnest(range(CAST(ceil(length(p) / 300.0) AS INT))) AS n FROM scan_paras)) WHERE unit <> ''""",
+    "scan_fold": f"""
+        SELECT document_id, unit_no, length(unit) AS cur_len, unit AS body, page AS lo, page AS hi, section, 0 AS chunk_index,
+               CAST(NULL AS VARCHAR) AS done, CAST(NULL AS INT) AS done_lo, CAST(NULL AS INT) AS done_hi
+        FROM scan_units WHERE unit_no = 1
+        UNION ALL
+        SELECT document_id, unit_no, CASE WHEN cut THEN least(length(body), 40) ELSE cur_len END + length(unit) + 1,
+               CASE WHEN cut THEN trim(right(body, 40), '{text.WS_CHARS}') ELSE body END || chr(10) || unit,
+               least(CASE WHEN cut THEN hi ELSE lo END, page), greatest(hi, page), coalesce(section, next_section),
+               chunk_index + CAST(cut AS INT), CASE WHEN cut THEN body END, CASE WHEN cut THEN lo END, CASE WHEN cut THEN hi END
+        FROM (SELECT f.document_id, u.unit_no, f.cur_len, f.body, f.lo, f.hi, f.section, u.section AS next_section, f.chunk_index, u.unit, u.page,
+                     f.cur_len + length(u.unit) + 1 > 300 AS cut
+              FROM scan_fold f JOIN scan_units u ON u.document_id = f.document_id AND u.unit_no = f.unit_no + 1)""",
+}
+ORACLES["chunk_scans"] = oracle(
+    """
+    SELECT document_id, chunk_index - 1 AS chunk_index, done AS text, done_lo AS page_start, done_hi AS page_end, section AS section_title FROM scan_fold WHERE done IS NOT NULL
+    UNION ALL SELECT document_id, chunk_index, body, lo, hi, section FROM scan_fold
+    QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY unit_no DESC) = 1""",
+    **_SCAN_VIEWS,
+)
 
 
 @query

@@ -199,7 +199,7 @@ _ORACLE_ONLY: dict[str, str] = {
 }
 
 
-_RECURSIVE = {"fold", "talk"}
+_RECURSIVE = {"fold", "talk", "scan_fold"}
 
 
 def _references(sql: str) -> Iterable[str]:

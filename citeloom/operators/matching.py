@@ -13,8 +13,8 @@ from citeloom.functions import text
 from citeloom.session import staged
 
 GRAM = 3
-#: Rows a key table may have to be broadcast; each is a few short strings.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes a key table may have to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Dictionaries up to this size are tried term by term.
 FEW_TERMS = 64
 
@@ -38,8 +38,10 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread: Col
 
 
 def fits_broadcast(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``limit`` rows; reads no more than that."""
-    return rows.limit(limit + 1).count() <= limit
+    """Whether a written table has at most ``limit`` rows and ``BROADCAST_BYTES`` bytes."""
+    width = F.length(F.to_json(F.struct("*")))
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= limit and size["bytes"] <= BROADCAST_BYTES
 
 
 def substring_pairs(

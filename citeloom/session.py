@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -46,11 +49,20 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where it names none, as in tests."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, as in tests, gets a temporary folder of its own, which goes with the
+    process; any other master must name one, as executors don't see each other's disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="citeloom-"))
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if "dir" not in _OWN:
+        _OWN["dir"] = tempfile.mkdtemp(prefix="citeloom-")
+        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
+    return _OWN["dir"]
 
 
 def staged(rows: DataFrame) -> DataFrame:

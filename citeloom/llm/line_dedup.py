@@ -113,15 +113,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key[0] != last or good[0]:
             held = {}
         keep = np.repeat(good, ends - starts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(key[keep], [k for k, _, _ in before]).astype(np.int64)), pa.array(np.append(line[keep], [x for _, x, _ in before]).astype(np.int64)), pa.array(np.append(own[keep], [o for _, _, o in before]).astype(bool))], names)
+        joined = [np.concatenate([x[keep], np.array(extra, x.dtype)]) for x, extra in zip((key, line, own), zip(*before) if before else ([], [], []))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names)
         alive, last = bool(good[-1]), key[-1]
+        if len(starts) > 1:
+            held = {}
         if not alive:
             tail = slice(starts[-1], ends[-1])
             one = {}
             for x, o in set(zip(line[tail].tolist(), own[tail].tolist())):
                 one[(int(last), x)] = o or one.get((int(last), x), False)
-            if len(starts) > 1:
-                held = {}
             if any(one.values()):  # index lines come first: without one here, none follows
                 held |= one
     if held:  # the last key may go on in the next partition

@@ -69,8 +69,10 @@ def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, marked with where they come from; digits count as one."""
 
     def cut(text: Column, mark: str, n: int) -> Column:
-        padded = F.concat(F.lit("^"), F.regexp_replace(text, "[0-9]", "0"), F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(mark), F.substring(padded, i, F.lit(n))))
+        letters = F.filter(F.split(F.concat(F.lit("^"), F.regexp_replace(text, "[0-9]", "0"), F.lit("$")), ""), lambda c: c != "")
+        starts = lambda all_: F.sequence(F.lit(0), F.greatest(F.size(all_) - n, F.lit(0)))
+        joined = lambda all_: F.transform(starts(all_), lambda i: F.concat_ws("", F.lit(mark), *(F.get(all_, i + k) for k in range(n))))
+        return F.flatten(F.transform(F.array(letters), joined))  # an array of one entry: the letters are made once
 
     return F.concat(*(cut(text, mark, n) for text, mark in ((host, "h"), (path, "p")) for n in GRAMS))
 

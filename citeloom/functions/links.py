@@ -47,7 +47,7 @@ def folder_request(value: Column) -> Column:
 
 def source_url(storage_key: Column, base_url: str) -> Column:
     """View URL of a drive key; base URL and key for anything else."""
-    drive_id = F.substring(storage_key, len(DRIVE) + 1, 1 << 20)
+    drive_id = F.substring(storage_key, F.lit(len(DRIVE) + 1), F.length(storage_key))
     return (
         F.when(storage_key.startswith(DRIVE), F.concat(F.lit(DRIVE_VIEW), drive_id, F.lit("/view")))
         .when(storage_key != "", F.concat(F.lit(base_url.rstrip("/") + "/"), storage_key))

@@ -1,12 +1,15 @@
 """Units and overlapping chunks.
 
-Packing is a sequential fold over the units of one document. It runs as a stream
-over Arrow batches: only the open chunk is held, never a whole document.
+Packing cuts the units of one document by their running lengths. It runs over Arrow
+batches and holds the units of one document at a time.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,34 +67,34 @@ def build_units(blocks: DataFrame, size: int = 4200) -> DataFrame:
     return units
 
 
+def _chunks_of(units: list[tuple], size: int, overlap: int) -> Iterator[tuple]:
+    """Chunks of one document's ``(text, page, section)`` units.
+
+    ``ends`` are running lengths with one line feed per unit, so the units that fit beside the
+    tail of the chunk before are found by bisection; a chunk takes one unit at least.
+    """
+    ends = list(accumulate((len(body) + 1 for body, _, _ in units), initial=0))
+    first, tail, before = 0, "", (None, None)
+    while first < len(units):
+        fitting = ends[first] + size - len(tail) + (0 if tail else 1)
+        last = max(first + 1, bisect_right(ends, fitting) - 1)
+        run = [(tail.strip(), *before)] if tail else []
+        run += units[first:last]
+        bodies, pages, titles = zip(*run)
+        known = [p for p in pages if p is not None]
+        body, title = "\n".join(bodies), next(filter(None, titles), None)
+        yield body, min(known, default=None), max(known, default=None), title
+        tail = body[-overlap:] if overlap else ""  # no tail at all for overlap 0
+        if not tail.strip():
+            tail = ""
+        first, before = last, (max(known, default=None), title)
+
+
 def _pack(units: Iterable[tuple], size: int, overlap: int) -> Iterator[tuple]:
-    """Fold ``(workspace, document, text, page, section)`` rows, documents contiguous, into chunks."""
-    owner, index, held, length = None, 0, [], 0
-
-    def closed() -> tuple:
-        pages = [p for _, p, _ in held if p is not None]
-        title = next((s for _, _, s in held if s), None)
-        body = "\n".join(t for t, _, _ in held)
-        return (*owner, index, body, min(pages, default=None), max(pages, default=None), title)
-
-    for workspace, document, body, page, section in units:
-        if owner != (workspace, document):
-            if held:
-                yield closed()
-            owner, index, held, length = (workspace, document), 0, [], 0
-        if held and length + len(body) + 1 > size:
-            done = closed()
-            yield done
-            index += 1
-            # no tail at all for overlap 0
-            tail = done[3][-overlap:] if overlap else ""
-            carried = tail.strip()
-            held = [(carried, done[5], done[6])] if carried else []
-            length = len(tail) if carried else 0
-        held.append((body, page, section))
-        length += len(body) + (1 if len(held) > 1 else 0)
-    if held:
-        yield closed()
+    """Chunks of ``(workspace, document, text, page, section)`` rows, documents contiguous; one document is held at a time."""
+    for owner, rows in groupby(units, key=itemgetter(0, 1)):
+        for index, chunk in enumerate(_chunks_of([row[2:] for row in rows], size, overlap)):
+            yield (*owner, index, *chunk)
 
 
 def _as_batches(chunks: Iterable[tuple]) -> Iterator[pa.RecordBatch]:

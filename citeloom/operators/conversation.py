@@ -76,7 +76,7 @@ def _is_strong(slots: Slots, names_facility: bool, cover: Coverage) -> bool:
 def advance(state: Slots, turn: dict, cover: Coverage) -> tuple[Slots, dict]:
     """Next state and resolved turn."""
     out = {"conv_id": turn["conv_id"], "turn": turn["turn"], "query_text": turn["query_text"]}
-    if turn["query_text"].strip() == RESET:
+    if (turn["query_text"] or "").strip() == RESET:
         return Slots(), out | {"outcome": "reset", "keywords": [], "contact_requested": False}
     merged = Slots(
         turn["prefecture"] or state.prefecture,

@@ -30,20 +30,27 @@ def hashing_provider(dim: int = 64) -> Provider:
     return embed
 
 
-def _embed(rows: DataFrame, column: str, provider: Provider | None, dim: int, output: str) -> DataFrame:
+def _vectors(texts: list[str], provider: Provider) -> list:
+    """A provider's vectors; none at all where it fails or returns another number of them."""
+    try:
+        found = list(provider(texts))
+    except Exception:  # a failing provider means zero vectors, not a failed job
+        found = []
+    return found if len(found) == len(texts) else [None] * len(texts)
+
+
+def _embed(rows: DataFrame, column: str, unit: str, provider: Provider | None, dim: int, output: str) -> DataFrame:
+    """One call of the provider for each ``unit`` of a batch, so that an error stays with it."""
     if provider is None:
         return rows.withColumn(output, vectors.zeros(dim))
     schema = T.StructType([*rows.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch[column].fillna("").tolist()
-            try:
-                found = provider(texts) if texts else []
-            except Exception:  # a failing provider means zero vectors, not a failed job
-                found = [None] * len(texts)
-            if len(found) != len(texts):
-                raise ValueError("Embedding count mismatch")
+            texts = batch[column].fillna("")
+            found = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            for _, part in texts.groupby(batch[unit], sort=False, dropna=False):
+                found.loc[part.index] = pd.Series(_vectors(part.tolist(), provider), index=part.index, dtype=object)
             batch[output] = found
             yield batch
 
@@ -53,12 +60,12 @@ def _embed(rows: DataFrame, column: str, provider: Provider | None, dim: int, ou
 
 
 def embed_chunks(chunks: DataFrame, provider: Provider | None, dim: int = 1536) -> DataFrame:
-    """Add ``embedding``; zero vectors where the provider is missing or fails."""
-    return _embed(chunks, "text", provider, dim, "embedding")
+    """Add ``embedding``; zero vectors for the documents for which the provider is missing or fails."""
+    return _embed(chunks, "text", "document_id", provider, dim, "embedding")
 
 
 def embed_queries(queries: DataFrame, provider: Provider | None, dim: int = 1536) -> DataFrame:
-    return _embed(queries, "query_text", provider, dim, "query_vec")
+    return _embed(queries, "query_text", "query_id", provider, dim, "query_vec")
 
 
 def attach_vectors(chunks: DataFrame, found: DataFrame, keys: list[str], dim: int) -> DataFrame:

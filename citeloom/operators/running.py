@@ -7,6 +7,9 @@ and takes what the earlier segments of its group add up to.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +31,20 @@ def _carried(parts: DataFrame, by: list[str], name: str, total: Column, combine)
     return per_segment.select(*by, _SEGMENT, combine(F.col("_part")).over(earlier).alias(name))
 
 
+def _started(parts: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """Each row with what its group's earlier segments come to; a null in a group column is a value like any other."""
+    keys = [*by, _SEGMENT]
+    named = starts.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_before")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    return parts.join(named, same).drop(*[f"_of_{c}" for c in keys])
+
+
 def running_sum(rows: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` up to each row of its group."""
     parts = _segments(rows.withColumn("_value", value), by, order)
     before = _carried(parts, by, "_before", F.sum("_value"), F.sum)
     here = F.sum("_value").over(Window.partitionBy(*by, _SEGMENT).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = parts.withColumn("_here", here).join(before, [*by, _SEGMENT])
+    joined = _started(parts.withColumn("_here", here), before, by)
     total = F.col("_here") + F.coalesce("_before", F.lit(0))
     return joined.withColumn(name, total).drop("_value", "_here", "_before", _SEGMENT)
 
@@ -51,5 +62,5 @@ def running_last(rows: DataFrame, by: list[str], order: list[Column], value: Col
     here = F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     local = parts.withColumn("_here", here).withColumn("_n", F.row_number().over(inside))
     before = _carried(local, by, "_before", F.max_by("_here", "_n"), lambda c: F.last(c, ignorenulls=True))
-    joined = local.join(before, [*by, _SEGMENT])
+    joined = _started(local, before, by)
     return joined.withColumn(name, F.coalesce("_here", "_before")).drop("_value", "_here", "_n", "_before", _SEGMENT)

@@ -472,4 +472,4 @@ ORACLES["pilot_kpis"] = oracle("""
     SELECT round(s, 6) AS ingest_success, round(f, 6) AS ingest_failure, round(p, 6) AS answer_p95_sec, round(c, 6) AS citation_rate, round(1 - c, 6) AS uncited_rate,
            s >= 0.9 AND p <= 8 AND c >= 0.95 AS targets_met, f > 0.3 OR c < 0.95 AS abort
     FROM (SELECT avg(CAST(status = 'ready' AS INT)) AS s, avg(CAST(status = 'failed' AS INT)) AS f FROM docs WHERE status <> 'processing'),
-         (SELECT quantile_cont(round(value / 10, 3), 0.95) AS p, avg(CAST(event_id % 25 > 0 AS INT)) FILTER (event_type <> 'error') AS c FROM events)""")
+         (SELECT quantile_cont(value / 10, 0.95) AS p, avg(CAST(event_id % 25 > 0 AS INT)) FILTER (event_type <> 'error') AS c FROM events)""")

@@ -25,8 +25,8 @@ LISTING_SCHEMA = "id string, name string, mimeType string, size string, modified
 
 
 def shape_facilities(rows: DataFrame) -> DataFrame:
-    """Trim every cell and split ``features`` on ``|``, dropping blanks."""
-    cells = rows.select(*[c for c in rows.columns if c not in FACILITY_COLUMNS], *[strip(F.col(c)).alias(c) for c in FACILITY_COLUMNS])
+    """Trim every cell, null being blank, and split ``features`` on ``|``, dropping blanks."""
+    cells = rows.select(*[c for c in rows.columns if c not in FACILITY_COLUMNS], *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FACILITY_COLUMNS])
     listed = F.filter(F.transform(F.split("features", r"\|"), strip), lambda x: x != "")
     return cells.withColumn("features", listed).withColumnRenamed("id", "facility_id")
 

@@ -36,11 +36,18 @@ def read_log(spark: SparkSession, path: str, schema: str, before: int | None = N
     full = f"{schema}, {VERSION} bigint"
     try:
         rows = spark.read.schema(full).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # anything else is not an empty table
+            raise
         return spark.createDataFrame([], full)
     return rows if before is None else rows.filter(F.col(VERSION) < before)
 
 
+def read_version(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
+    """The rows of one version alone."""
+    return spark.read.schema(schema).parquet(f"{path}/{VERSION}={version:012d}")
+
+
 def newest_rows(log: DataFrame, key: str) -> DataFrame:
     """The newest version of each key's row."""
     columns = [c for c in log.columns if c != VERSION]

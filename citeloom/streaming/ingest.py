@@ -6,7 +6,8 @@ by its batch id; a batch repeated after a lost executor or driver rewrites that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,16 +25,30 @@ RUNS = (
 )
 
 
-def ingest_documents(
-    raw: DataFrame,
-    provider: embedding.Provider | None = None,
-    dim: int = 64,
-    size: int = 4200,
-    overlap: int = 500,
-) -> tuple[DataFrame, DataFrame]:
-    """Chunks and one outcome row per raw document; a bad document fails alone."""
+#: Order of uploads, where the stream brings one; a file stream without it is ordered by its files' times.
+ARRIVED = "arrived"
+
+
+def newest_uploads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of several uploads of a document the newest, and the others.
+
+    Uploads of one time are told apart by their bytes, so that a repeated batch decides alike.
+    """
+    order = [F.col(ARRIVED).desc_nulls_last(), F.xxhash64("content").desc(), F.col("file_name").desc_nulls_last()]
+    ranked = raw.withColumn("_rank", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)))
+    return ranked.filter("_rank = 1").drop("_rank", ARRIVED), ranked.filter("_rank > 1").drop("_rank", ARRIVED)
+
+
+def _decoded(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     routed = decoding.route_corpus(raw)
-    decoded = decoding.decode_corpus(routed.filter("route = 'text'"))
+    return routed, decoding.decode_corpus(routed.filter("route = 'text'"))
+
+
+def embedded_chunks(
+    raw: DataFrame, provider: embedding.Provider | None = None, dim: int = 64, size: int = 4200, overlap: int = 500
+) -> DataFrame:
+    """Chunks with vectors of all raw documents that can be read."""
+    _, decoded = _decoded(raw)
     is_markdown = F.lower(files.suffix(F.col("file_name"))) == ".md"
     packed = chunking.chunk_documents(decoded.withColumn("_md", is_markdown), size, overlap, F.col("_md"))
     videos = blocks.video_blocks(raw).join(raw.select("document_id", "workspace_id"), "document_id")
@@ -42,8 +57,13 @@ def ingest_documents(
         size,
     )
     chunks = packed.unionByName(chunking.build_chunks(titles, size, overlap))
-    embedded = embedding.embed_chunks(chunks, provider, dim)
-    counts = chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    return embedding.embed_chunks(chunks, provider, dim)
+
+
+def outcomes(raw: DataFrame, embedded: DataFrame) -> DataFrame:
+    """One row per raw document: what became of it; a bad document fails alone."""
+    routed, decoded = _decoded(raw)
+    counts = embedded.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
     marks = embedding.embed_fallback_tag(embedded).withColumnRenamed("tags", "embed_tags")
     read = decoded.select("document_id", "decode_tags")
     outcome = routed.drop("content").join(read, "document_id", "left").join(counts, "document_id", "left")
@@ -55,7 +75,7 @@ def ingest_documents(
     )
     video = F.when(F.col("route") == "video", files.video_tags())
     tags = text.merge_tags(F.col("route_tags"), F.col("decode_tags"), F.col("embed_tags"), video)
-    outcome = outcome.withColumn("reason", reason).select(
+    return outcome.withColumn("reason", reason).select(
         "document_id",
         F.when(F.col("reason").isNull(), "ready").otherwise("failed").alias("status"),
         "reason",
@@ -63,20 +83,42 @@ def ingest_documents(
         F.when(F.col("reason").isNull(), 1).otherwise(0).alias("extracted_pages"),
         F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
     )
-    return embedded, outcome
+
+
+def superseded(raw: DataFrame) -> DataFrame:
+    """Outcome rows of uploads that a later one of the same batch replaces."""
+    none = F.lit(0)
+    return raw.select(
+        "document_id", F.lit("superseded").alias("status"), F.lit("a later upload of the document came with it").alias("reason"),
+        F.array().cast("array<string>").alias("tags"), none.alias("extracted_pages"), none.alias("chunk_count"),
+    )
+
+
+def ingest_documents(raw: DataFrame, provider: embedding.Provider | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Chunks and one outcome row per raw document."""
+    embedded = embedded_chunks(raw, provider, **options)
+    return embedded, outcomes(raw, embedded)
 
 
 def start_ingest(
     stream: DataFrame, out: str, checkpoint: str, provider: embedding.Provider | None = None, **options
 ) -> StreamingQuery:
-    """Ingest all raw rows (columns of :data:`RAW_SCHEMA`) that arrived since the last run."""
+    """Ingest all raw rows (columns of :data:`RAW_SCHEMA`, and ``arrived`` if there is an order) that arrived since the last run.
+
+    Chunks are written first and read back for the outcomes, so each goes to the provider once and
+    tags agree with the vectors stored; a document counts only once its chunks are there.
+    """
+    if ARRIVED not in stream.columns:
+        try:
+            stream = stream.withColumn(ARRIVED, F.col("_metadata.file_modification_time"))
+        except AnalysisException:  # not a stream of files
+            stream = stream.withColumn(ARRIVED, F.lit(None).cast("timestamp"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        raw = batch.dropDuplicates(["document_id"])
-        chunks, outcome = ingest_documents(raw, provider, **options)
-        tables.write_version(chunks, f"{out}/chunks", batch_id)
-        # runs last: a document counts only once its chunks are there
-        tables.write_version(outcome, f"{out}/runs", batch_id)
+        newest, older = newest_uploads(batch)
+        tables.write_version(embedded_chunks(newest, provider, **options), f"{out}/chunks", batch_id)
+        stored = tables.read_version(batch.sparkSession, f"{out}/chunks", CHUNKS, batch_id)
+        tables.write_version(outcomes(newest, stored).unionByName(superseded(older)), f"{out}/runs", batch_id)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -30,6 +30,14 @@ def test_groups_larger_than_a_segment(spark):
             assert last[n] == title and total[n] == added and number[n] == len(members) - at
 
 
+def test_a_null_group_is_a_group(spark):
+    frame = spark.createDataFrame([(None, 1, "a"), (None, 2, None), ("g", 1, None)], "g string, n int, h string")
+    for made in (running.running_number(frame, ["g"], [F.col("n")], "x"), running.running_last(frame, ["g"], [F.col("n")], F.col("h"), "x")):
+        assert made.count() == 3
+    got = running.running_last(frame, ["g"], [F.col("n")], F.col("h"), "x").collect()
+    assert sorted((r.g or "", r.n, r.x) for r in got) == [("", 1, "a"), ("", 2, "a"), ("g", 1, None)]
+
+
 def test_listing_order(spark):
     docs = spark.createDataFrame(
         [("b", "w", 1, 9), ("a", "w", 2, 1), ("c", "v", 3, 5), ("d", "w", 2, 7)], "document_id string, workspace_id string, created_at int, updated_at int"

@@ -1,3 +1,5 @@
+import pytest
+
 from citeloom.streaming import imports, ingest
 
 
@@ -30,6 +32,46 @@ def test_incremental_ingest(spark, tmp_path):
     assert outcome["v"]["tags"] == ["EMBED_FALLBACK", "TITLE_ONLY", "VIDEO_CONTENT"] and outcome["a"]["chunk_count"] == 1
 
 
+def test_uploads_of_one_batch(spark, tmp_path):
+    """The newest upload counts, the others are on record; each chunk goes to the provider once; an error stays with its document."""
+    source, out, calls = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "calls"
+    calls.mkdir()
+    rows = [
+        ("w", "a", "a.txt", "text/plain", b"first version", 1), ("w", "a", "a.txt", "text/plain", b"second version", 2),
+        ("w", "b", "b.txt", "text/plain", b"fails", 3), ("w", "c", "c.txt", "text/plain", b"fine", 4),
+    ]
+    schema = ingest.RAW_SCHEMA + ", arrived long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    folder = str(calls)
+
+    def provider(texts):
+        import uuid
+
+        for t in texts:
+            open(f"{folder}/{uuid.uuid4().hex}", "w").write(t)
+        if "fails" in texts:
+            raise RuntimeError("no vectors")
+        return [[1.0, 0.0]] * len(texts)
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    ingest.start_ingest(stream, out, str(tmp_path / "mark"), provider, dim=2, size=40, overlap=5).awaitTermination()
+    chunks = {r["chunk_id"]: (r["text"], r["embedding"]) for r in ingest.read_chunks(spark, out).collect()}
+    assert chunks == {"a:0": ("second version", [1.0, 0.0]), "b:0": ("fails", [0.0, 0.0]), "c:0": ("fine", [1.0, 0.0])}
+    runs = ingest.tables.read_log(spark, f"{out}/runs", ingest.RUNS).collect()
+    assert sorted((r["document_id"], r["status"], r["tags"]) for r in runs) == [
+        ("a", "ready", []), ("a", "superseded", []), ("b", "ready", ["EMBED_FALLBACK"]), ("c", "ready", []),
+    ]
+    assert sorted(p.read_text() for p in calls.iterdir()) == ["fails", "fine", "second version"]
+
+
+def test_only_a_missing_log_is_empty(spark, tmp_path):
+    assert ingest.tables.read_log(spark, str(tmp_path / "none"), ingest.RUNS).collect() == []
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        ingest.tables.read_log(spark, str(tmp_path / "broken"), ingest.RUNS).collect()
+
+
 def test_import_stream(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
 

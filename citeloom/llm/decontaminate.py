@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ POSTINGS = 64
 ITEMS, CHARS = 20_000, 16_000_000
 #: Shortest passage.
 PASSAGE = 64
+#: Most that an item can score by terms that are not essential; below SCORE.
+REST = 0.25
+#: Words that are looked up together.
+TOGETHER = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -90,6 +95,55 @@ class Index:
         self.bounds = np.array([max(p[1]) for p in self.postings] + [0.0])  # the last is for words of no item
         longest = max((len(q) + len(a) for q, a in items.values()), default=0)
         self.passage = max(PASSAGE, 2 * longest)
+        self._essential()
+
+    def _essential(self) -> None:
+        """Postings of the essential terms, and what an item needs of them.
+
+        Frequent terms are left out as long as every item keeps more than it would need without
+        them: an item's rest says how much its other terms can add at most.
+        """
+        place = {item: n for n, item in enumerate(sorted({i for ids, *_ in self.postings for i in ids}))}
+        self.rest = np.zeros(len(place))
+        self.sizes = np.zeros(len(self.postings) + 1, np.int64)
+        rows, values = [], []
+        for t in sorted(range(len(self.postings)), key=lambda t: (-len(self.postings[t][0]), t)):
+            at, impact = np.array([place[i] for i in self.postings[t][0]]), np.array(self.postings[t][1])
+            if (self.rest[at] + impact <= REST).all():
+                self.rest[at] += impact
+            else:
+                self.sizes[t] = len(at)
+                rows.append((t, at, impact))
+        rows.sort(key=lambda r: r[0])
+        self.item = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
+        self.impact = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+
+def promising(index: Index, ids: np.ndarray, lengths: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts given as term ids, laid end to end, the passages in which some item can score ``least``: text, passage.
+
+    The sum of an item's essential terms in the passage and of its rest bounds its score.
+    """
+    step = index.passage // 2
+    counts = np.where(lengths > 0, np.maximum(1, -(-(lengths - index.passage) // step) + 1), 0)
+    base = np.cumsum(counts) - counts
+    place = np.flatnonzero(index.sizes[ids])
+    text = np.repeat(np.arange(len(lengths)), lengths)[place]
+    spot = (place - (np.cumsum(lengths) - lengths)[text]) // step
+    inside = np.concatenate([spot, spot - 1])
+    text, term = np.tile(text, 2), np.tile(ids[place], 2)
+    good = (inside >= 0) & (inside < counts[text])
+    width = len(index.sizes)
+    met = np.unique((base[text] + inside)[good] * width + term[good])  # a term counts once for a passage
+    passage, term = met // width, met % width
+    n = index.sizes[term]
+    entry = np.repeat(index.first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    key, where = np.unique(np.repeat(passage, n) * (len(index.rest) + 1) + index.item[entry], return_inverse=True)
+    score = np.bincount(where, index.impact[entry], len(key)) + index.rest[key % (len(index.rest) + 1)]
+    found = np.unique(key[score >= least - 1e-9] // (len(index.rest) + 1))
+    of = np.searchsorted(base, found, side="right") - 1
+    return of, found - base[of]
 
 
 def search(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -165,32 +219,39 @@ def verify(question: list[str], answer: list[str], passage: list[str]) -> tuple[
     return in_order(question, stretch), in_order(answer, stretch)
 
 
+def _hits(index: Index, texts: list[list[str]], least: float, overlap: float) -> Iterator[tuple]:
+    """Text number, item, word, score and overlaps of every item found in some of ``texts``, where it is found best."""
+    none, size, step = len(index.postings), index.passage, index.passage // 2
+    lengths = np.array([len(t) for t in texts], np.int64)
+    words_of = chain.from_iterable(texts)
+    ids = np.fromiter(map(index.terms.get, words_of, repeat(none)), np.int64, int(lengths.sum()))
+    starts = np.cumsum(lengths) - lengths
+    best: dict[tuple, tuple] = {}
+    for text, passage in zip(*(x.tolist() for x in promising(index, ids, lengths, least))):
+        s, found = passage * step, texts[text]
+        terms = np.unique(ids[starts[text] + s : starts[text] + min(s + size, len(found))])
+        for item, score in search(index, terms[terms < none].tolist(), least):
+            q, a = verify(*index.items[item], found[max(0, s - step) : s + size + step])
+            if q >= overlap and a >= overlap and (q + a, score) > best.get((text, item), (0.0, 0.0))[:2]:
+                best[text, item] = (q + a, score, s, q, a)
+    for (text, item), (_, score, s, q, a) in sorted(best.items()):
+        yield text, item, s, score, q, a
+
+
 def _searched(index_of, least: float, overlap: float):
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = index_of.value
-        none, size, step = len(index.postings), index.passage, index.passage // 2
-        number = index.terms.get
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                found = words(text.as_py())
-                ids = np.array([number(w, none) for w in found], dtype=np.int64)
-                upto = np.append(0.0, np.cumsum(index.bounds[ids])) if len(ids) else np.zeros(1)
-                starts = np.arange(0, max(1, len(found) - size + step), step) if found else np.zeros(0, np.int64)
-                rough = upto[np.minimum(starts + size, len(found))] - upto[starts] >= least - 1e-9
-                best: dict[int, tuple] = {}
-                for s in starts[rough].tolist():
-                    terms = np.unique(ids[s : s + size])
-                    terms = terms[terms < none]
-                    if index.bounds[terms].sum() < least - 1e-9:
-                        continue
-                    for item, score in search(index, terms.tolist(), least):
-                        question, answer = index.items[item]
-                        q, a = verify(question, answer, found[max(0, s - step) : s + size + step])
-                        if q >= overlap and a >= overlap and (item not in best or (q + a, score) > best[item][:2]):
-                            best[item] = (q + a, score, s, q, a)
-                out += [(doc, item, s, score, q, a) for item, (_, score, s, q, a) in sorted(best.items())]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            docs, texts, some, out = batch.column("doc_id").to_pylist(), [], 0, []
+            first = 0
+            for n, text in enumerate(batch.column("text")):
+                texts.append(words(text.as_py()))
+                some += len(texts[-1])
+                if some >= TOGETHER or n + 1 == len(docs):
+                    out += [(docs[first + t], *rest) for t, *rest in _hits(index, texts, least, overlap)]
+                    first, texts, some = n + 1, [], 0
             columns = list(zip(*out)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "word", "score", "question_overlap", "answer_overlap"])
 

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import __spark_entry__ as entry
 from citeloom.llm import decontaminate as d
 from tests.llm.cases import docs, odd_rows, prose
@@ -27,6 +29,30 @@ def test_wand_finds_all_above_the_threshold():
         assert {i: round(s, 9) for i, s in d.search(index, query, least)} == {i: s for i, s in want.items() if s >= least - 1e-9}
 
 
+def test_no_passage_above_the_threshold_is_passed_over():
+    pick = random.Random(3)
+    vocabulary = [f"t{n}" for n in range(80)]
+    shares, items = [], {}
+    for item in range(40):
+        terms = pick.sample(vocabulary, pick.randint(3, 12))
+        total = sum(1 + int(t[1:]) % 7 for t in terms)
+        shares += [(item, t, (1 + int(t[1:]) % 7) / total) for t in terms]
+        items[item] = (terms, [])
+    index = d.Index(shares, items)
+    by_item = {}
+    for item, term, impact in shares:
+        by_item.setdefault(item, {})[term] = impact
+    texts = [[pick.choice([*vocabulary, "none"]) for _ in range(pick.choice([0, 1, 5, 64, 65, 200]))] for _ in range(60)]
+    ids = np.array([index.terms.get(w, len(index.postings)) for t in texts for w in t], np.int64)
+    got = set(zip(*(x.tolist() for x in d.promising(index, ids, np.array([len(t) for t in texts]), d.SCORE))))
+    step = index.passage // 2
+    for n, t in enumerate(texts):
+        for k, s in enumerate(range(0, max(1, len(t) - index.passage + step), step) if t else ()):
+            have = set(t[s : s + index.passage])
+            if any(sum(v for w, v in share.items() if w in have) >= d.SCORE for share in by_item.values()):
+                assert (n, k) in got
+
+
 def test_in_order_is_the_longest_common_subsequence():
     pick = random.Random(2)
     for _ in range(300):

@@ -48,7 +48,7 @@ def band(texts: DataFrame) -> DataFrame:
 
 
 def signature(text: Column, lexicon: Column) -> Column:
-    """One hash per lexicon, null where the text has no term in it."""
+    """One 32-bit hash per lexicon, null where the text has no term in it."""
 
     def inside(term: Column) -> Column:
         cell = _cell(term)
@@ -56,7 +56,7 @@ def signature(text: Column, lexicon: Column) -> Column:
 
     def level(kept: Column, bits: int, parts: int, at: int) -> Column:
         part = lambda t: F.shiftright(t, at).bitwiseAND((1 << bits) - 1)
-        hashed = lambda chosen: F.when(F.size(chosen) > 0, F.xxhash64(chosen))
+        hashed = lambda chosen: F.when(F.size(chosen) > 0, F.shiftright(F.xxhash64(chosen), 32).cast("int"))
         of_some = F.filter(kept, lambda t: part(t) < parts)
         # an array of one entry, so that the narrowed list is made once and not once for each part
         return F.flatten(F.transform(F.array(of_some), lambda some: F.transform(F.array(*map(F.lit, range(parts))), lambda p: hashed(F.filter(some, lambda t: part(t) == p)))))
@@ -70,7 +70,7 @@ def signature(text: Column, lexicon: Column) -> Column:
 
 def written(signatures: Column) -> Column:
     """A fingerprint as text: eight hex digits per lexicon, dashes where it is null."""
-    eight = lambda x: F.coalesce(F.lpad(F.lower(F.hex(x.bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("-" * 8))
+    eight = lambda x: F.coalesce(F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("-" * 8))
     return F.array_join(F.transform(signatures, eight), "")
 
 
@@ -83,8 +83,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """``id, h, text``: a document is told by its doc_id as text (null: empty) and its text's hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    return docs.select(key.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _number(key: Column) -> Column:
+    return F.when(key != "", key.cast("long"))
 
 
 def lexicon(docs: DataFrame) -> Column:
@@ -96,49 +102,50 @@ def lexicon(docs: DataFrame) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` of every row of ``docs`` (doc_id, text); a null text counts as empty."""
     texts = _texts(docs)
-    return texts.select("doc_id", written(signature(F.col("text"), lexicon(docs))).alias("fingerprint"))
+    return texts.select(_number(F.col("id")).alias("doc_id"), written(signature(F.col("text"), lexicon(docs))).alias("fingerprint"))
 
 
 def followers(texts: DataFrame) -> DataFrame:
-    """``doc_id, h`` of each document and whose edited text begins with it: ``to_id, to_h, to_chars``.
+    """``id, h`` of each document and whose edited text ends with its beginning: ``to_id, to_h, half``.
 
     Order: descending doc_id, null last, then hash; the first follows the last. Only these narrow
     columns are sorted, by range; a range's last row takes the first of the next range.
     """
-    ids = texts.select("doc_id", "h", F.char_length("text").alias("chars")).distinct()
+    ids = texts.select("id", "h", F.expr("char_length(text) div 2").cast("int").alias("half")).distinct()
+    ids = ids.withColumn("doc_id", _number(F.col("id")))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     rows = staged(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    own = F.struct(F.col("doc_id"), F.col("h"), F.col("chars"))
-    firsts = rows.groupBy("part").agg(F.min_by(own, F.struct((F.col("doc_id").isNull()).alias("n"), (-F.col("doc_id")).alias("d"), F.col("h"))).alias("first"))
+    own = F.struct("id", "h")
+    firsts = rows.groupBy("part").agg(F.min_by(own, F.struct(F.col("doc_id").isNull().alias("n"), (-F.col("doc_id")).alias("d"), F.col("h"))).alias("first"))
     by_part = Window.orderBy("part")  # one row per range
     start = F.first("first").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(by_part), start).alias("onward"))
     inside = F.lead(own).over(Window.partitionBy("part").orderBy(*order))
     linked = rows.withColumn("next", inside).join(F.broadcast(firsts), "part").withColumn("next", F.coalesce("next", "onward"))
-    return linked.select("next.doc_id", "next.h", F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.col("chars").alias("to_chars"))
+    return linked.select("next.id", "next.h", F.col("id").alias("to_id"), F.col("h").alias("to_h"), "half")
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every document.
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or
     all, of the next document's, in the order of ``followers``. A null text is an empty one. A
-    null doc_id comes last. A repeated row (equal doc_id and text) is one document; rows of one
-    doc_id with different texts are different documents. A document alone is its own next. Other
-    columns are not looked at; no rows give no rows. Equal texts have equal fingerprints.
+    null doc_id comes last. A repeated row (equal doc_id and text) is one document, which gives a
+    row each time; rows of one doc_id with different texts are different documents. A document
+    alone is its own next. Other columns are not looked at; no rows give no rows. Equal texts have
+    equal fingerprints.
+
+    Both joins use one exchange of the texts; besides, only the beginnings move.
     """
     texts = _texts(docs)
     known = lexicon(docs)
-    base = texts.dropDuplicates(["doc_id", "h"]).withColumn("sig", signature(F.col("text"), known))
-    onward = followers(texts).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "to_id", "to_h", "to_chars")
-    half = F.expr("to_chars div 2").cast("int")
-    heads = base.join(onward, (base["h"] == onward["_h"]) & base["doc_id"].eqNullSafe(onward["_id"])).select(
-        "to_id", "to_h", F.substring(F.col("text"), F.lit(1), half).alias("head"), F.col("sig").alias("next_sig")
-    )
-    pairs = base.join(heads, (base["h"] == heads["to_h"]) & base["doc_id"].eqNullSafe(heads["to_id"]))
+    base = texts.withColumn("sig", signature(F.col("text"), known))
+    head = F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head")
+    heads = base.join(staged(followers(texts)), ["id", "h"]).select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), head, F.col("sig").alias("next_sig"))
+    pairs = base.join(heads.dropDuplicates(["id", "h"]), ["id", "h"])
     chars = F.char_length("text")
     text = F.concat(F.substring(F.col("text"), F.lit(1), chars - F.expr("char_length(text) div 2").cast("int")), F.col("head"))
-    made = pairs.select("doc_id", chars.cast("long").alias("n_chars"), text.alias("edited"), "sig", "next_sig")
+    made = pairs.select(_number(F.col("id")).alias("doc_id"), chars.cast("long").alias("n_chars"), text.alias("edited"), "sig", "next_sig")
     signed = made.withColumn("edited_sig", signature(F.col("edited"), known))
     return signed.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written(F.col("sig")).alias("fingerprint"),

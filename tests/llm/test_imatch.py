@@ -28,7 +28,7 @@ def plain_signature(text, cells):
             h, some = 42, [t for t in kept if (t >> at) & ((1 << bits) - 1) == p]
             for t in some:
                 h = xxhash.xxh64_intdigest(struct.pack("<q", t), h)
-            out.append(h & 0xFFFFFFFF if some else None)
+            out.append(h >> 32 if some else None)
         at += bits
     return out
 
@@ -49,7 +49,9 @@ def plain(rows):
     order = sorted(set(rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1], 42))))
     text = lambda s: "".join("-" * 8 if x is None else f"{x:08x}" for x in s)
     out = []
-    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+    onward = dict(zip(order, order[1:] + order[:1]))
+    for i, t in rows:
+        _, u = onward[i, t]
         half = len(t) // 2
         edited = t[: len(t) - half] + u[:half]
         a, b, c = (plain_signature(x, cells) for x in (t, edited, u))

@@ -21,7 +21,7 @@ from citeloom.llm.common import pieces, staged
 
 #: Most labelled rows that trees are grown on: those with the least hash of doc_id.
 SAMPLE = 40_000
-TREES, DEPTH, BINS, RATE, LEAST_HESSIAN, RIDGE = 80, 4, 64, 0.15, 4.0, 1.0
+TREES, DEPTH, BINS, RATE, LEAST_HESSIAN, RIDGE = 80, 4, 64, 0.15, 0.25, 1.0
 #: A score from here on predicts 1.
 ACCEPT = 0.7
 #: Rows are held out whose crc32 has this remainder by 4.

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import WS_CHARS
-from citeloom.operators import answers, link_jobs, normalisers
+from citeloom.operators import answers, link_jobs, normalisers, retrieval
+from citeloom.plans import search
 from citeloom.plans.ingest import joined
 from citeloom.plans.views import oracle, table, view
+from citeloom.session import staged
 
 QUERIES = {}
 ORACLES = {}
@@ -241,6 +243,57 @@ ORACLES["to_response_json"] = answer_oracle(f"""
     LEFT JOIN (SELECT query_id, arg_min(chunk_id, cite_no) AS first_chunk, arg_min(document_id, cite_no) AS first_doc FROM kept GROUP BY query_id) USING (query_id)""")
 
 
+# -- question to cited answer --------------------------------------------------
+
+# Replies by the document of a question's best hit: good with two citations; broken, then good; none; foreign.
+_TOPS = """
+    SELECT query_id, max(CASE WHEN rank = 1 THEN chunk_id END) AS r1, coalesce(max(CASE WHEN rank = 2 THEN chunk_id END), max(CASE WHEN rank = 1 THEN chunk_id END)) AS r2,
+           CAST(max(CASE WHEN rank = 1 THEN CAST(document_id AS INT) END) % 4 AS INT) AS v, max(raw_score) AS best
+    FROM {hits} GROUP BY query_id"""
+def _reply(first: str, second: str) -> str:
+    return f"""'{{"answer":{{"conclusion":"c' || query_id || '","details":"d","notes":"n","next_actions":["a","b"]}},"citations":[{{"chunk_id":"' || {first} || '"}},{{"chunk_id":"' || {second} || '"}}]}}'"""
+
+
+_FIRST_REPLY = f"""CASE v WHEN 0 THEN {_reply("r2", "r1")} WHEN 1 THEN 'not json' ELSE {_reply("'foreign'", "'other'")} END AS raw"""
+_NEXT_REPLY = f"""'```json ' || {_reply("r1", "r1")} || ' ```' AS raw"""
+
+
+@query
+def cited_answers(spark, sf):
+    """Questions answered from what the search finds: gate, replies that name real hits, citations with URLs."""
+    asked, chunks = search.stored_queries(spark, sf), search.stored_chunks(spark, sf)
+    hits = staged(retrieval.hybrid_retrieve(asked, chunks, view(spark, sf, "docs")))
+    tops = spark.sql(_TOPS.format(hits="{hits}"), hits=hits)
+    replies = tops.filter("v <> 2").selectExpr("query_id", "1 AS attempt", _FIRST_REPLY).unionByName(tops.filter("v = 1").selectExpr("query_id", "2 AS attempt", _NEXT_REPLY))
+    found, cites = answers.answer_queries(asked, hits, replies, chunks, BASE_URL)
+    shown = F.struct("cite_no", F.concat_ws(" ", "chunk_id", "ref", F.format_string("%.6f", "score"), "url").alias("c"))
+    listed = cites.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["c"]), ", ").alias("cites"))
+    return _answer(found.join(listed, "query_id", "left"), "kind", F.coalesce("cites", F.lit("")).alias("cites"))
+
+
+ORACLES["cited_answers"] = oracle(
+    f"""
+    SELECT e.query_id, kind, coalesce(cites, '') AS cites, conclusion, details, notes, next_actions FROM (
+      SELECT query_id, kind, {_NOT_FOUND} FROM answered WHERE kind = 'not_found'
+      UNION ALL SELECT query_id, kind, {_EXTRACTIVE} FROM answered JOIN written USING (query_id) WHERE kind = 'extractive'
+      UNION ALL SELECT query_id, kind, 'c' || query_id, 'd', 'n', 'a,b' FROM answered WHERE kind = 'grounded') e
+    LEFT JOIN (SELECT query_id, string_agg(chunk_id || ' ' || ref || ' ' || printf('%.6f', score) || ' ' || {_URL}, ', ' ORDER BY cite_no) AS cites FROM shown GROUP BY query_id) USING (query_id)""",
+    **search.O,
+    **{
+        "tops": _TOPS.format(hits="final"),
+        "wanted": """
+            SELECT query_id, CASE WHEN coalesce(best, 0) < 0.15 THEN 'not_found' WHEN v = 2 THEN 'extractive' ELSE 'grounded' END AS kind, v, r1, r2 FROM queries LEFT JOIN tops USING (query_id)""",
+        "named": """
+            SELECT query_id, 1 AS cite_no, CASE WHEN v = 0 THEN r2 ELSE r1 END AS chunk_id FROM wanted WHERE kind = 'grounded' AND v IN (0, 1)
+            UNION ALL SELECT query_id, 2, r1 FROM wanted WHERE kind = 'grounded' AND v = 0 AND r1 <> r2
+            UNION ALL SELECT query_id, rank, chunk_id FROM wanted JOIN final USING (query_id) WHERE kind = 'extractive'""",
+        "shown": "SELECT n.query_id, n.cite_no, f.chunk_id, f.ref, f.score, f.storage_key FROM named n JOIN final f ON f.query_id = n.query_id AND f.chunk_id = n.chunk_id",
+        "answered": "SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM shown) THEN kind ELSE 'not_found' END AS kind FROM wanted",
+        "written": "SELECT query_id, string_agg('- ' || file_name || ' ' || ref || ': ' || snippet, chr(10) ORDER BY rank) AS details FROM final GROUP BY query_id",
+    },
+)
+
+
 # -- links -------------------------------------------------------------------
 
 _FOLDER_VALUES = """

@@ -492,21 +492,37 @@ ORACLES["snippets"] = oracle(f"SELECT document_id, substr(regexp_replace(text, '
 # -- vectors -----------------------------------------------------------------
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+_LETTER_SQL = "concat_ws(',', " + ", ".join(f"length({{text}}) - length(replace({{text}}, '{c}', ''))" for c in _ALPHABET) + ")"
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A provider that SQL can state: how often a text has each small letter; shorter than asked for."""
+    return [[float(t.count(c)) for c in _ALPHABET] for t in texts]
+
+
+def _counts(vec: str) -> list:
+    seen = F.transform(F.slice(vec, 1, len(_ALPHABET)), lambda x: x.cast("int").cast("string"))
+    return [F.size(vec).alias("dim"), F.array_join(seen, ",").alias("letters")]
+
+
 @query
 def embed_chunks(spark, sf):
-    """Hashing vectors of every chunk, summed up per workspace."""
-    out = embedding.embed_chunks(corpus_chunks(spark, sf), embedding.hashing_provider(DIM), DIM)
-    return out.groupBy("workspace_id").agg(
-        F.count("*").alias("chunks"),
-        F.count_if(F.size("embedding") == DIM).alias("fitted"),
-        F.count_if(vectors.is_zero(F.col("embedding"))).alias("zero"),
-    )
+    """Vectors of every chunk by a provider that counts letters."""
+    out = embedding.embed_chunks(corpus_chunks(spark, sf), _letters, DIM)
+    return out.select("chunk_id", *_counts("embedding"))
+
+
+ORACLES["embed_chunks"] = oracle(f"SELECT chunk_id, {DIM} AS dim, {_LETTER_SQL.format(text='text')} AS letters FROM chunks")
 
 
 @query
 def embed_queries(spark, sf):
-    out = embedding.embed_queries(view(spark, sf, "queries"), embedding.hashing_provider(DIM), DIM)
-    return out.groupBy("workspace_id").agg(F.count("*").alias("queries"), F.count_if(F.size("query_vec") == DIM).alias("fitted"))
+    out = embedding.embed_queries(view(spark, sf, "queries"), _letters, DIM)
+    return out.select("query_id", *_counts("query_vec"))
+
+
+ORACLES["embed_queries"] = oracle(f"SELECT query_id, {DIM} AS dim, {_LETTER_SQL.format(text='query_text')} AS letters FROM queries")
 
 
 def _summary(vec: str) -> list:

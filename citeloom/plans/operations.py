@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from citeloom.operators import catalogue
 from citeloom.plans.ingest import corpus_chunks, joined
 from citeloom.plans.views import oracle, table, view
+from citeloom.session import shared_dir
 from citeloom.sources import readers, tables
 
 QUERIES = {}
@@ -75,12 +78,13 @@ ORACLES["shape_facilities"] = oracle(f"SELECT * EXCLUDE (raw_features), {_FEATUR
 
 @query
 def listing(spark, sf):
-    """Listing pages without trashed files, through the reader's filter."""
-    rows = view(spark, sf, "listing")
-    return rows.filter(~F.coalesce("trashed", F.lit(False))).select("item_no", "id", "name", "mimeType", "size")
+    """Listing pages written as JSON lines and read without trashed files."""
+    path = f"{shared_dir(spark)}/listings/{uuid.uuid4().hex}"
+    view(spark, sf, "listing").select("id", "name", "mimeType", "size", "trashed").write.json(path)
+    return readers.read_listing(spark, path).select("id", "name", "mimeType", "size")
 
 
-ORACLES["listing"] = oracle("SELECT item_no, id, name, mimeType, size FROM listing WHERE NOT trashed")
+ORACLES["listing"] = oracle("SELECT id, name, mimeType, size FROM listing WHERE NOT trashed")
 
 
 @query
@@ -106,7 +110,10 @@ def append_runs(spark, sf):
     both = done.select("document_id", "chunk_count", F.col("log")["stage"].alias("stage")).unionByName(
         failed.select("document_id", "chunk_count", F.col("log")["stage"].alias("stage"))
     )
-    return both
+    path = f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}"
+    for stage in ("completed", "failed"):  # two attempts to add to the table
+        tables.append_runs(both.filter(F.col("stage") == stage), path)
+    return spark.read.schema(both.schema).parquet(path)
 
 
 ORACLES["append_runs"] = oracle("""

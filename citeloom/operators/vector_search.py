@@ -23,9 +23,12 @@ ITEM_BLOCK, QUERY_BLOCK = 8192, 2048
 HITS = "query_id string, chunk_id string, score double"
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    """Unit rows; zero vectors stay zero and so score 0."""
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+def _matrix(column: pd.Series, dim: int | None = None) -> np.ndarray:
+    """Unit rows; null and zero vectors, and those of another length than ``dim``, are zero rows and so score 0."""
+    vectors = column.tolist()
+    dim = max((len(v) for v in vectors if v is not None), default=0) if dim is None else dim
+    empty = np.zeros(dim)
+    rows = np.stack([empty if v is None or len(v) != dim else np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
@@ -54,22 +57,42 @@ def _first_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _topk_broadcast(queries: pd.DataFrame, items: DataFrame, k: int, key: str) -> DataFrame:
-    """One pass over the items, no shuffle of vectors: each batch keeps k hits per query."""
-    spark = items.sparkSession
-    packed = {
-        owner: (_matrix(part["query_vec"]), part["query_id"].to_numpy(dtype=object))
-        for owner, part in queries.groupby(key)
-    }
-    shared = spark.sparkContext.broadcast(packed)
+def _compact(hits: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The first k of each query among several lists of hits."""
+    both = pd.concat(hits, ignore_index=True).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
+    return both.groupby("query_id", sort=False).head(k)
+
+
+def _topk_broadcast(queries: DataFrame, items: DataFrame, k: int, key: str) -> DataFrame:
+    """One pass over the items, no shuffle of vectors: each task keeps k hits per query.
+
+    ``queries`` are of a checked size. Scores are made for ``QUERY_BLOCK`` queries and one batch at
+    a time, and hits are cut to k per query whenever they have grown to a few times that.
+    """
+    table = queries.toArrow()
+    rows = pd.DataFrame({key: table.column(key).to_pandas(), "query_id": table.column("query_id").to_pandas(), "query_vec": table.column("query_vec").to_pandas()})
+    packed = {owner: (_matrix(part["query_vec"]), part["query_id"].to_numpy(dtype=object)) for owner, part in rows.groupby(key)}
+    shared = items.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size, least = 0, 0
         for batch in batches:
             for owner, part in batch.groupby(key):
                 if owner not in shared.value:
                     continue
                 vectors, ids = shared.value[owner]
-                yield _best(vectors, ids, _matrix(part["embedding"]), part["chunk_id"].to_numpy(dtype=object), k)
+                for first in range(0, len(part), ITEM_BLOCK):
+                    some = part.iloc[first : first + ITEM_BLOCK]
+                    block, names = _matrix(some["embedding"], vectors.shape[1]), some["chunk_id"].to_numpy(dtype=object)
+                    for at in range(0, len(ids), QUERY_BLOCK):
+                        held.append(_best(vectors[at : at + QUERY_BLOCK], ids[at : at + QUERY_BLOCK], block, names, k))
+                        size += len(held[-1])
+                        if size > 4 * least + 200_000:
+                            held = [_compact(held, k)]
+                            size = least = len(held[0])
+        if held:
+            yield _compact(held, k)
 
     return items.select(key, "chunk_id", "embedding").mapInPandas(run, HITS)
 
@@ -95,10 +118,11 @@ def _topk_blocks(queries: DataFrame, items: DataFrame, k: int, key: str) -> Data
     def run(item: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if item.empty or query.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        asked = _matrix(query["query_vec"])
         return _best(
-            _matrix(query["query_vec"]),
+            asked,
             query["query_id"].to_numpy(dtype=object),
-            _matrix(item["embedding"]),
+            _matrix(item["embedding"], asked.shape[1]),
             item["chunk_id"].to_numpy(dtype=object),
             k,
         )
@@ -117,9 +141,10 @@ def vector_topk(
     the blocked product. Both return ``query_id, chunk_id, score, rank``.
     """
     queries = queries.select(key, "query_id", "query_vec")
-    size = queries.agg(F.sum(F.size("query_vec") * 8 + 64)).first()[0] or 0
+    width = F.greatest(F.size("query_vec"), F.lit(0)) * 8 + F.coalesce(F.octet_length("query_id"), F.lit(0)) + 64
+    size = queries.agg(F.sum(width)).first()[0] or 0
     if size <= broadcast_bytes:
-        hits = _topk_broadcast(queries.toPandas(), items, k, key)
+        hits = _topk_broadcast(queries, items, k, key)
     else:
         hits = _topk_blocks(queries, items, k, key)
     return _first_k(hits, k)
@@ -137,6 +162,12 @@ def ivf_assign(items: DataFrame, model: KMeansModel) -> DataFrame:
     return model.transform(rows).withColumnRenamed("prediction", "cluster").drop("features")
 
 
+def write_clusters(assigned: DataFrame, path: str) -> None:
+    """Store assigned vectors one folder per cluster; a large cluster is spread over files."""
+    spread = assigned.repartition("cluster", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    spread.write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+
 def _probes(queries: DataFrame, model: KMeansModel, nprobe: int) -> DataFrame:
     centres = np.asarray(model.clusterCenters())
 
@@ -154,7 +185,12 @@ def ivf_topk(
 ) -> DataFrame:
     """Approximate top-k: only the ``nprobe`` lists nearest to a query are searched."""
     nprobe = min(nprobe, len(model.clusterCenters()))
+    probed = _probes(queries.select(key, "query_id", "query_vec"), model, nprobe)
+    # at most as many as there are lists; prunes the folders of a table written by write_clusters
+    wanted = [r["cluster"] for r in probed.select("cluster").distinct().collect()]
+    assigned = assigned.filter(F.col("cluster").isin(wanted))
     cell = F.concat_ws("|", key, "cluster").alias("cell")
-    probes = _probes(queries.select(key, "query_id", "query_vec"), model, nprobe).select(cell, "query_id", "query_vec")
+    probes = probed.select(cell, "query_id", "query_vec")
     cells = assigned.select(cell, "chunk_id", "embedding")
-    return vector_topk(probes, cells, k, key="cell")
+    found = vector_topk(probes, cells, k, key="cell").drop("rank")
+    return _first_k(found, k)

@@ -10,6 +10,7 @@ pairs are verified by banded bit-parallel edit distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ THRESHOLD = 2
 SEEN = 300_000
 #: Most lines on each side of one comparison.
 BLOCK = 512
+#: Bits of the sieve that lets through the lines whose texts are needed: 2 MB, whatever the corpus.
+SIEVE = 1 << 24
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -45,12 +48,13 @@ def _key(text: str, length: int, i: int, threshold: int) -> int:
     return xxhash.xxh64_intdigest(text, length * (threshold + 1) + i) - (1 << 63)
 
 
-def line_keys(line: str, threshold: int) -> tuple[list[int], list[int]]:
-    """A line's index keys and its further probe keys."""
-    n = len(line)
-    own = [_key(line[s : s + size], n, i, threshold) for i, (s, size) in enumerate(segments(n, threshold))]
+@lru_cache(maxsize=50_000)
+def _cuts(n: int, threshold: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Start, end and key number of a line's own segments, and of its further probes."""
+    number = lambda length, i: length * (threshold + 1) + i
+    own = [(s, s + size, number(n, i)) for i, (s, size) in enumerate(segments(n, threshold))]
     probes = [
-        _key(line[p : p + size], length, i, threshold)
+        (p, p + size, number(length, i))
         for length in range(max(1, n - threshold), n + 1)
         for i, (s, size) in enumerate(segments(length, threshold))
         for p in places(i, s, size, length, n, threshold)
@@ -59,6 +63,13 @@ def line_keys(line: str, threshold: int) -> tuple[list[int], list[int]]:
     return own, probes
 
 
+def line_keys(line: str, threshold: int) -> tuple[list[int], list[int]]:
+    """A line's index keys and its further probe keys."""
+    own, probes = _cuts(len(line), threshold)
+    digest, half = xxhash.xxh64_intdigest, 1 << 63
+    return [digest(line[a:b], k) - half for a, b, k in own], [digest(line[a:b], k) - half for a, b, k in probes]
+
+
 def _keys(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -246,6 +257,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", "text", F.when(~blank, F.xxhash64("text")).alias("line"))
 
 
+def _sieved(sieve):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
+        for batch in batches:
+            found: dict[int, str] = {}
+            for text in batch.column("text"):
+                for line in (text.as_py() or "").split("\n"):
+                    h = xxhash.xxh64_intdigest(line, 42)
+                    cell = h & (SIEVE - 1)
+                    if bits[cell >> 6] >> (cell & 63) & 1:
+                        found[h if h < 1 << 63 else h - (1 << 64)] = line
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "text"])
+
+    return run
+
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """``line, text`` of the needed lines.
+
+    A sieve of fixed size, sent to all tasks, stops most other lines before the exchange; the
+    join after it is exact.
+    """
+    words = needed.groupBy(F.expr(f"cast((line & {SIEVE - 1}) div 64 as int)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(SIEVE // 64, np.int64)  # that many rows at most
+    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    sieve = docs.sparkSession.sparkContext.broadcast([int(x) for x in bits.view(np.uint64)])
+    lines = docs.select("text").mapInArrow(_sieved(sieve), "line long, text string")
+    return lines.join(needed, "line", "left_semi").dropDuplicates(["line"])
+
+
 def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``line, links, root`` of partial counts and trees over the distinct lines within ``threshold`` edits of each other."""
     keys = docs.select(F.col("text")).mapInArrow(_keys(threshold), "key long, line long, own boolean")
@@ -253,7 +294,7 @@ def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     shared = ranged.mapInArrow(_shared, "key long, line long, own boolean").groupBy("key", "line").agg(F.max("own").alias("own"))
     shared = staged(shared)
     needed = staged(shared.select("line").distinct())
-    texts = _lines(docs).select("line", "text").join(needed, "line", "left_semi").dropDuplicates(["line"])
+    texts = _texts(docs, needed)
     crowd = shared.groupBy("key").agg(F.count("*").alias("_n"), F.max("own").alias("_own")).where("_n > 1 and _own").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_g"))
     placed = shared.join(crowd, "key").withColumn("_b", F.pmod(F.xxhash64("line", F.lit("block")), F.col("_g")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda n: n)

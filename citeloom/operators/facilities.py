@@ -56,6 +56,8 @@ REJECT_TEXT = "該当候補を十分な根拠で提示できませんでした
 CLOSING_LINE = "注意: 最終的な空き状況・費用・受入可否は各事業所へ直接確認してください。"
 PREFECTURE_SCORE, CITY_SCORE, SERVICE_SCORE, NAME_SCORE, KEYWORD_SCORE, SOFT_SCORE = 1.0, 3.0, 4.0, 2.0, 1.2, 0.5
 STRONG_SCORE, SEMANTIC_WEIGHT, HISTORY_TURNS = 2.0, 5.0, 6
+USER_LABEL, ASSISTANT_LABEL, NONE_LABEL = "ユーザー", "アシスタント", "なし"
+PROMPT_PARTS = ("相談内容:", "会話履歴(直近):", "抽出条件:", "参照データ:")
 # ----------------------------------------------------------------------------
 
 
@@ -378,12 +380,16 @@ def semantic_recommend(semantic: DataFrame, k: int = 3) -> DataFrame:
 # -- texts -------------------------------------------------------------------
 
 
+def _spoken() -> Column:
+    speaker = F.when(F.col("role") == "user", USER_LABEL).otherwise(ASSISTANT_LABEL)
+    return F.concat(F.lit("- "), speaker, F.lit(": "), F.col("text"))
+
+
 def last_turns(turns: DataFrame, count: int = HISTORY_TURNS) -> DataFrame:
     """``conv_id, history``: the last turns of each conversation as lines."""
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     recent = turns.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count)
-    speaker = F.when(F.col("role") == "user", "ユーザー").otherwise("アシスタント")
-    line = F.concat(F.lit("- "), speaker, F.lit(": "), F.col("text"))
+    line = _spoken()
     rows = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
     return recent.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("history"))
 
@@ -405,6 +411,21 @@ def facility_prompt(intents: DataFrame, candidates: DataFrame, facilities: DataF
     return intents.join(context, "query_id").select("query_id", conditions.alias("conditions"), "context")
 
 
+def whole_prompt(prompts: DataFrame, turns: DataFrame, count: int = HISTORY_TURNS) -> DataFrame:
+    """``query_id, prompt``: question, the turns before it, conditions and reference texts.
+
+    ``prompts`` are those of :func:`facility_prompt`; ``turns(query_id, conv_id, turn, role, text)``
+    hold the questions among all turns. A null text is an empty one.
+    """
+    turns = turns.withColumn("text", F.coalesce("text", F.lit("")))
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-count, -1)
+    said = turns.withColumn("_history", F.array_join(F.collect_list(_spoken()).over(earlier), "\n"))
+    history = F.when(F.col("_history") == "", NONE_LABEL).otherwise(F.col("_history"))
+    parts = zip(PROMPT_PARTS, (F.col("text"), history, F.col("conditions"), F.col("context")))
+    body = F.concat_ws("\n\n", *(F.concat(F.lit(label + "\n"), part) for label, part in parts))
+    return prompts.join(said.select("query_id", "text", "_history"), "query_id").select("query_id", body.alias("prompt"))
+
+
 def render_answer(explained: DataFrame) -> DataFrame:
     """The listing text of each query's candidates; phone numbers only when asked for."""
     why = F.when(F.size("reasons") > 0, F.array_join("reasons", " / ")).otherwise("一致条件なし")

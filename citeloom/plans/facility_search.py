@@ -332,6 +332,26 @@ ORACLES["facility_prompt"] = facility_oracle(f"""
       FROM ranked JOIN (SELECT facility_id, {_DOC} AS doc FROM fac) d USING (facility_id) WHERE round(score, 6) >= 2 GROUP BY query_id) c ON c.query_id = i.query_id""")
 
 
+@query
+def whole_prompt(spark, sf):
+    """Prompts with the question and the six turns before it."""
+    turns = view(spark, sf, "turns").withColumn("role", F.when(F.col("turn") % 3 == 0, "assistant").otherwise("user"))
+    turns = turns.select("query_id", "conv_id", "turn", "role", F.col("query_text").alias("text"))
+    return facilities.whole_prompt(facility_prompt(spark, sf), turns)
+
+
+_PARTS = facilities.PROMPT_PARTS
+ORACLES["whole_prompt"] = oracle(
+    f"""
+    SELECT query_id, '{_PARTS[0]}' || chr(10) || query_text || chr(10) || chr(10) || '{_PARTS[1]}' || chr(10) || coalesce(history, '{facilities.NONE_LABEL}') || chr(10) || chr(10)
+           || '{_PARTS[2]}' || chr(10) || conditions || chr(10) || chr(10) || '{_PARTS[3]}' || chr(10) || context AS prompt
+    FROM prompts JOIN (
+      SELECT query_id, query_text, string_agg('- ' || CASE WHEN turn % 3 = 0 THEN '{facilities.ASSISTANT_LABEL}' ELSE '{facilities.USER_LABEL}' END || ': ' || query_text, chr(10))
+             OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS history FROM turns) USING (query_id)""",
+    prompts=ORACLES["facility_prompt"],
+)
+
+
 # -- conversations -----------------------------------------------------------
 
 

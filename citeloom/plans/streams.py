@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from citeloom.functions import files
 from citeloom.plans import facility_search, ingest, operations
-from citeloom.plans.views import CHUNK_OVERLAP, CHUNK_SIZE, table, view
+from citeloom.plans.views import CHUNK_OVERLAP, CHUNK_SIZE, oracle, table, view
 from citeloom.session import shared_dir
 from citeloom.sources import tables
 from citeloom.streaming import conversation as conversation_stream
@@ -49,6 +50,34 @@ def stream_ingest(spark, sf):
 ORACLES["stream_ingest"] = ingest.ORACLES["chunk_documents"]
 
 
+@query
+def stream_runs(spark, sf):
+    """Run records of uploads that arrive over several micro-batches: files of unknown type fail, every seventh document comes twice."""
+    docs = view(spark, sf, "docs")
+    known = F.col("doc_id") % 5 != 4
+    rows = docs.select(
+        "doc_id", "workspace_id", "document_id", F.concat("document_id", F.when(known, ".txt").otherwise(".xyz")).alias("file_name"),
+        F.when(known, "text/plain").otherwise("").alias("mime_type"), F.encode("text", "UTF-8").alias("content"), F.lit(2).alias("arrived"),
+    )
+    older = rows.filter("doc_id % 7 = 0").withColumn("content", F.encode(F.lit("first version"), "UTF-8")).withColumn("arrived", F.lit(1))
+    out = _fresh(spark)
+    # both uploads of a document lie in one file
+    rows.unionByName(older).drop("doc_id").repartition(6, "document_id").write.parquet(f"{out}/arriving")
+    schema = f"{ingest_stream.RAW_SCHEMA}, arrived int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/arriving")
+    ingest_stream.start_ingest(stream, out, f"{out}/checkpoint", dim=8, size=CHUNK_SIZE, overlap=CHUNK_OVERLAP).awaitTermination()
+    runs = tables.read_log(spark, f"{out}/runs", ingest_stream.RUNS)
+    return runs.select("document_id", "status", "reason", F.array_join("tags", ",").alias("tags"), "extracted_pages", "chunk_count")
+
+
+_OTHER, _OTHER_TAGS = files.UNSUPPORTED["other"]
+ORACLES["stream_runs"] = oracle(f"""
+    SELECT document_id, 'ready' AS status, NULL AS reason, 'EMBED_FALLBACK' AS tags, 1 AS extracted_pages, CAST(n AS INT) AS chunk_count
+    FROM docs JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) USING (document_id) WHERE doc_id % 5 <> 4
+    UNION ALL SELECT document_id, 'failed', '{_OTHER}', '{",".join(_OTHER_TAGS)}', 0, 0 FROM docs WHERE doc_id % 5 = 4
+    UNION ALL SELECT document_id, 'superseded', '{ingest_stream.SUPERSEDED}', '', 0, 0 FROM docs WHERE doc_id % 7 = 0""")
+
+
 @query
 def stream_conversation(spark, sf):
     """Turns arriving as files, resolved with state per conversation and answered."""

@@ -25,6 +25,7 @@ RUNS = (
 )
 
 
+SUPERSEDED = "a later upload of the document came with it"
 #: Order of uploads, where the stream brings one; a file stream without it is ordered by its files' times.
 ARRIVED = "arrived"
 
@@ -89,7 +90,7 @@ def superseded(raw: DataFrame) -> DataFrame:
     """Outcome rows of uploads that a later one of the same batch replaces."""
     none = F.lit(0)
     return raw.select(
-        "document_id", F.lit("superseded").alias("status"), F.lit("a later upload of the document came with it").alias("reason"),
+        "document_id", F.lit("superseded").alias("status"), F.lit(SUPERSEDED).alias("reason"),
         F.array().cast("array<string>").alias("tags"), none.alias("extracted_pages"), none.alias("chunk_count"),
     )
 

@@ -38,9 +38,14 @@ def local_session(name: str = "citeloom", cores: str | int = "*", memory: str =
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return bool(re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master))
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table stored in fewer splits than there are cores; no shuffle otherwise."""
-    if rows.rdd.getNumPartitions() >= rows.sparkSession.sparkContext.defaultParallelism:
+    """In a local session, use all cores on a table stored in fewer splits than there are cores; no shuffle on a cluster."""
+    if not is_local(rows.sparkSession) or rows.rdd.getNumPartitions() >= rows.sparkSession.sparkContext.defaultParallelism:
         return rows
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
@@ -57,7 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    if not is_local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="citeloom-")

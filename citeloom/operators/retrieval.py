@@ -48,11 +48,16 @@ def _term_sets(queries: DataFrame) -> DataFrame:
 
 
 def _cover_density(words: Column, terms: Column) -> Column:
-    """Sum over minimal intervals holding every term of 0.1 / (1 + other words inside)."""
+    """Cover density of a text's words."""
     hits = F.filter(
         F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.array_position(terms, w).cast("int").alias("term"))),
         lambda h: h["term"] > 0,
     )
+    return _density(hits, terms)
+
+
+def _density(hits: Column, terms: Column) -> Column:
+    """Sum over minimal intervals holding every term of 0.1 / (1 + other words inside), from the terms' places in order."""
     # fold over the hits: latest (pos, ordinal) per term, start of the last counted interval, score
     never = F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("nth"))
     start = F.struct(
@@ -150,6 +155,31 @@ def keyword_topk(
     return asked.join(best, ["workspace_id", "terms"]).select("query_id", "chunk_id", "score", "rank")
 
 
+def keyword_topk_indexed(queries: DataFrame, postings: DataFrame, k: int = 30) -> DataFrame:
+    """As :func:`keyword_topk`, from stored positions ``workspace_id, term, chunk_id, pos`` alone.
+
+    Only the postings of asked terms are read. The rarest term of a set finds its candidates; a
+    set with a term that no chunk has is dropped at once. Texts are never touched.
+    """
+    by_term, owner = ["workspace_id", "term"], ["workspace_id", "terms"]
+    asked = _term_sets(queries).select("query_id", *owner)
+    wanted = asked.select(*owner).distinct().withColumn("term", F.explode("terms"))
+    places = postings.join(wanted.select(*by_term).distinct(), by_term, "left_semi")
+    # places of one term in one chunk: bounded by the chunk
+    lists = staged(places.groupBy(*by_term, "chunk_id").agg(F.collect_list("pos").alias("places")))
+    frequency = lists.groupBy(*by_term).agg(F.count("*").alias("df"))
+    known = wanted.join(frequency.select(*by_term), by_term).groupBy(*owner).agg(F.count("*").alias("n")).filter(F.col("n") == F.size("terms"))
+    anchors = matching.rarest_key(wanted.join(known.select(*owner), owner, "left_semi"), frequency, owner, by_term)
+    candidates = lists.join(anchors, by_term).select(*owner, "chunk_id").withColumn("term", F.explode("terms"))
+    found = candidates.join(lists, [*by_term, "chunk_id"]).groupBy(*owner, "chunk_id").agg(F.collect_list(F.struct("term", "places")).alias("_found"))
+    one = lambda f: F.transform(f["places"], lambda p: F.struct((p - 1).alias("pos"), F.array_position("terms", f["term"]).cast("int").alias("term")))
+    hits = F.array_sort(F.flatten(F.transform("_found", one)))
+    whole = found.filter(F.size("_found") == F.size("terms")).select(*owner, "chunk_id", F.round(_density(hits, F.col("terms")), 9).alias("score"))
+    order = Window.partitionBy(*owner).orderBy(F.desc("score"), "chunk_id")
+    best = whole.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return asked.join(best, owner).select("query_id", "chunk_id", "score", "rank")
+
+
 # -- title -------------------------------------------------------------------
 
 

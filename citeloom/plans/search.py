@@ -11,6 +11,7 @@ from citeloom.operators import embedding, retrieval, vector_search
 from citeloom.plans.ingest import _POSTINGS, DIM, _garbled, corpus_chunks
 from citeloom.plans.views import oracle, table, view
 from citeloom.session import shared_dir, staged
+from citeloom.sources import tables
 
 QUERIES = {}
 ORACLES = {}
@@ -236,7 +237,18 @@ def keyword_topk(spark, sf):
     return _shown(retrieval.keyword_topk(view(spark, sf, "queries"), _scope(spark, sf)))
 
 
+@query
+def keyword_topk_indexed(spark, sf):
+    """The same from stored postings: only folders of asked terms are read, and no chunk text."""
+    path = f"{shared_dir(spark)}/postings/{uuid.uuid4().hex}"
+    tables.write_postings(retrieval.build_postings(_scope(spark, sf)), path)
+    asked = view(spark, sf, "queries")
+    terms = asked.select(F.explode(text.tokens(F.col("query_text"))).alias("term"))
+    return _shown(retrieval.keyword_topk_indexed(asked, tables.read_postings(spark, path, terms)))
+
+
 ORACLES["keyword_topk"] = search_oracle("SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM keyword_best")
+ORACLES["keyword_topk_indexed"] = ORACLES["keyword_topk"]
 
 
 # -- title -------------------------------------------------------------------

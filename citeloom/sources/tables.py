@@ -7,7 +7,7 @@ a failure rewrites its own version.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "version"
@@ -61,10 +61,23 @@ def current_chunks(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     return chunks.join(newest, ["document_id", VERSION], "left_semi").drop(VERSION)
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 256) -> None:
+#: Folders of a full-text table.
+BUCKETS = 256
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def read_postings(spark: SparkSession, path: str, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The folders of a full-text table that hold some of ``terms(term)``: the others are not listed."""
+    wanted = [r["bucket"] for r in terms.select(_bucket(buckets).alias("bucket")).distinct().collect()]  # at most as many as there are folders
+    return spark.read.parquet(path).filter(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Full-text table clustered by term: each term sits in one bucket folder."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = postings.withColumn("bucket", bucket)
+    rows = postings.withColumn("bucket", _bucket(buckets))
     # a hot term may fill a bucket: spread it over files by chunk
     spread = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
     spread.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(path)

@@ -287,12 +287,19 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return lines.join(needed, "line", "left_semi").dropDuplicates(["line"])
 
 
+def alive(keys: DataFrame) -> DataFrame:
+    """Rows of the keys that two different lines share, one of them as index line; more of a key that ends a range.
+
+    Ranges and rows in them have one order, in which a key's index lines come first.
+    """
+    order = ["key", F.col("own").desc(), "line"]
+    return keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "key long, line long, own boolean")
+
+
 def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``line, links, root`` of partial counts and trees over the distinct lines within ``threshold`` edits of each other."""
     keys = docs.select(F.col("text")).mapInArrow(_keys(threshold), "key long, line long, own boolean")
-    ranged = keys.repartitionByRange("key", "line").sortWithinPartitions("key", F.col("own").desc(), "line")
-    shared = ranged.mapInArrow(_shared, "key long, line long, own boolean").groupBy("key", "line").agg(F.max("own").alias("own"))
-    shared = staged(shared)
+    shared = staged(alive(keys).groupBy("key", "line").agg(F.max("own").alias("own")))
     needed = staged(shared.select("line").distinct())
     texts = _texts(docs, needed)
     crowd = shared.groupBy("key").agg(F.count("*").alias("_n"), F.max("own").alias("_own")).where("_n > 1 and _own").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_g"))

@@ -121,3 +121,15 @@ def test_rewritten(spark):
     out = line_dedup.rewritten(frame, line_dedup.deduplicated(frame))
     assert out.columns == frame.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "same line here\nother", 2: "\nnew words", 3: None}
+
+
+def test_probes_before_their_index_line_survive_range_borders(spark):
+    """One index line with a great hash and many probes with lesser ones: ranges cut inside the key."""
+    hot = [(7, n, False) for n in range(20_000)] + [(7, 1 << 40, True)]
+    frame = spark.createDataFrame([(-k, k, True) for k in range(1, 3000)] + hot, "key long, line long, own boolean").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        found = {(r.line, r.own) for r in line_dedup.alive(frame).where("key = 7").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert found == {(x, o) for _, x, o in hot}

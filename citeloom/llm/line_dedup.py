@@ -22,6 +22,8 @@ from citeloom.llm.common import components, staged
 
 #: Most edits (insert, delete or replace one code point) between linked lines.
 THRESHOLD = 2
+#: Characters of the shorter line for each edit allowed: shorter lines link to none, 2 edits need twice as many.
+PER_EDIT = 12
 #: Lines that a task remembers, so as not to send their keys again.
 SEEN = 300_000
 #: Most lines on each side of one comparison.
@@ -63,6 +65,11 @@ def _cuts(n: int, threshold: int) -> tuple[list[tuple[int, int, int]], list[tupl
     return own, probes
 
 
+def edits(length: int, threshold: int, per_edit: int) -> int:
+    """Most edits between a line of ``length`` and a longer one; ``threshold`` for all where ``per_edit`` is 0."""
+    return min(threshold, length // per_edit) if per_edit else threshold
+
+
 def line_keys(line: str, threshold: int) -> tuple[list[int], list[int]]:
     """A line's index keys and its further probe keys."""
     own, probes = _cuts(len(line), threshold)
@@ -70,7 +77,7 @@ def line_keys(line: str, threshold: int) -> tuple[list[int], list[int]]:
     return [digest(line[a:b], k) - half for a, b, k in own], [digest(line[a:b], k) - half for a, b, k in probes]
 
 
-def _keys(threshold: int):
+def _keys(threshold: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -87,6 +94,8 @@ def _keys(threshold: int):
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(h)
+                    if not edits(len(line), threshold, per_edit):  # nor has any shorter line
+                        continue
                     mine, probes = line_keys(line, threshold)
                     keys += mine
                     keys += probes
@@ -197,7 +206,7 @@ def _first_key(short: str, other: str, threshold: int) -> int | None:
     return None
 
 
-def _verified(key: int, rows: list[tuple], threshold: int) -> tuple[dict[int, int], dict[int, int]]:
+def _verified(key: int, rows: list[tuple], threshold: int, per_edit: int = 0) -> tuple[dict[int, int], dict[int, int]]:
     """Links per line and a tree over linked lines, from one key's rows (line, text, is index line here, is probe here)."""
     index = [(h, t) for h, t, own, _ in rows if own]
     probes = [(h, t) for h, t, _, probe in rows if probe]
@@ -216,11 +225,11 @@ def _verified(key: int, rows: list[tuple], threshold: int) -> tuple[dict[int, in
     long, ids = np.array([len(t) for _, t in probes]), np.array([h for h, _ in probes])
     mine = _counts([t for _, t in index])
     for n, (h, text) in enumerate(index):
-        gap = long - len(text)
-        near = (np.abs(theirs - mine[n]).sum(axis=1) <= 2 * threshold) & (gap >= 0) & (gap <= threshold) & ((gap > 0) | (ids > h))
+        gap, most = long - len(text), edits(len(text), threshold, per_edit)
+        near = (np.abs(theirs - mine[n]).sum(axis=1) <= 2 * most) & (gap >= 0) & (gap <= most) & ((gap > 0) | (ids > h))
         for k in np.flatnonzero(near):
             other_h, other = probes[k]
-            if _first_key(text, other, threshold) == key and distance_within(text, other, threshold):
+            if _first_key(text, other, threshold) == key and distance_within(text, other, most):
                 links[h] = links.get(h, 0) + 1
                 links[other_h] = links.get(other_h, 0) + 1
                 a, b = root(h), root(other_h)
@@ -228,10 +237,10 @@ def _verified(key: int, rows: list[tuple], threshold: int) -> tuple[dict[int, in
     return links, {x: root(x) for x in parent}
 
 
-def _compared(threshold: int):
+def _compared(threshold: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(mark: tuple, rows: list) -> Iterator[pa.RecordBatch]:
-            links, roots = _verified(mark[0], rows, threshold)
+            links, roots = _verified(mark[0], rows, threshold, per_edit)
             if links:
                 found = list(links)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([links[x] for x in found], pa.int64()), pa.array([roots[x] for x in found], pa.int64())], ["line", "links", "root"])
@@ -296,9 +305,9 @@ def alive(keys: DataFrame) -> DataFrame:
     return keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "key long, line long, own boolean")
 
 
-def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``line, links, root`` of partial counts and trees over the distinct lines within ``threshold`` edits of each other."""
-    keys = docs.select(F.col("text")).mapInArrow(_keys(threshold), "key long, line long, own boolean")
+def links(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = 0) -> DataFrame:
+    """``line, links, root`` of partial counts and trees over the distinct lines within the ``edits`` of the shorter one."""
+    keys = docs.select(F.col("text")).mapInArrow(_keys(threshold, per_edit), "key long, line long, own boolean")
     shared = staged(alive(keys).groupBy("key", "line").agg(F.max("own").alias("own")))
     needed = staged(shared.select("line").distinct())
     texts = _texts(docs, needed)
@@ -309,21 +318,22 @@ def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     as_probe = F.transform(F.filter(others, lambda n: ~F.col("own") | (n != F.col("_b"))), lambda n: F.struct(n.alias("x"), F.col("_b").alias("y"), F.lit(False).alias("own"), F.lit(True).alias("probe")))
     spread = placed.select("key", "line", F.explode(F.concat(F.coalesce(as_index, F.slice(as_probe, 1, 0)), as_probe)).alias("p"))
     rows = spread.join(texts, "line").select("key", "p.x", "p.y", "line", "text", "p.own", "p.probe")
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_compared(threshold), "line long, links long, root long")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_compared(threshold, per_edit), "line long, links long, root long")
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = 0) -> DataFrame:
     """``doc_id, line_no, class_id, links, component_id, kept`` for every line of ``docs`` (doc_id, text).
 
     Lines are the parts between line feeds, compared whole. class_id names a line's text, links
     counts the different texts within ``threshold`` edits, component_id names all texts reachable
-    over links. Of a component only the first line stays, in order of doc_id (null first) and
+    over links. With ``per_edit``, the shorter line has that many characters for each edit, else it
+    doesn't link: equal short lines are one class, different ones all stay. Of a component only the first line stays, in order of doc_id (null first) and
     line_no. Lines of white space alone aren't compared: they stay, without class. A null text
     has no lines, an empty one has one blank line; repeated rows of one doc_id repeat their line
     numbers, of which all equal to the first stay. Other columns are not looked at; no rows give
     no rows. Texts are told apart by their 64-bit XXH64.
     """
-    found = staged(links(docs, threshold))
+    found = staged(links(docs, threshold, per_edit))
     roots = components(found.select(F.col("line").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("line").agg(F.sum("links").alias("links"))
     lines = _lines(docs).select("doc_id", "line_no", "line")

@@ -13,7 +13,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), per_edit=line_dedup.PER_EDIT)
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

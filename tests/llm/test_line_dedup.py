@@ -4,7 +4,7 @@ from collections import defaultdict
 import pyarrow as pa
 import xxhash
 
-from citeloom.llm import line_dedup
+from citeloom.llm import line_dedup, queries
 from tests.llm.cases import docs, odd_rows, prose
 
 
@@ -133,3 +133,15 @@ def test_probes_before_their_index_line_survive_range_borders(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert found == {(x, o) for _, x, o in hot}
+
+
+def test_different_short_lines_stay_in_the_query(spark, tmp_path):
+    short = [str(n) for n in range(30)] + ["A.", "Of", "St.", "Ti.", "2021-03-04", "2021-03-05"]
+    long = "a line of forty characters, about so far"
+    text = "\n".join(short + [long, long + "!?", long + "!?.", long[:20], long[:20] + "!", long[:20] + "?!."])
+    docs(spark, [(1, text, "a"), (2, "\n".join(short), "a")]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    kept = {(r.doc_id, r.line_no) for r in rows if r.kept}
+    n = len(short)
+    assert kept == {(1, i) for i in range(n)} | {(1, n), (1, n + 3), (1, n + 5)}
+    assert {r.links for r in rows if r.line_no < n} == {0}

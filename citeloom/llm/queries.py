@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import decontaminate, imatch, line_dedup, mixing, quality, secrets_scan, simhash, token_shards, url_filter, vector_codes, warc
+from citeloom.llm import decontaminate, imatch, lexical_search, line_dedup, mixing, quality, secrets_scan, simhash, token_shards, url_filter, vector_codes, warc
 from citeloom.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -56,7 +60,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_line_dedup, op3_token_shards, op4_decontaminate, op5_url_filter, op6_quality, op7_secrets, op8_imatch, op9_revisits, op10_mixing,
-        op13_vector_codes,
+        op11_lexical_search, op13_vector_codes,
     )
 }
-ORACLES = {"op7_secrets": secrets_scan.ORACLE, "op9_revisits": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+ORACLES = {"op7_secrets": secrets_scan.ORACLE, "op9_revisits": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op11_lexical_search": lexical_search.ORACLE, "op13_vector_codes": vector_codes.ORACLE}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import decontaminate, imatch, lexical_search, line_dedup, mixing, quality, secrets_scan, simhash, token_shards, url_filter, vector_codes, warc
+from citeloom.llm import byte_pairs, decontaminate, imatch, lexical_search, line_dedup, mixing, quality, secrets_scan, simhash, token_shards, url_filter, vector_codes, warc
 from citeloom.llm.common import table
 
 
@@ -52,6 +53,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_line_dedup, op3_token_shards, op4_decontaminate, op5_url_filter, op6_quality, op7_secrets, op8_imatch, op9_revisits, op10_mixing,
-        op11_lexical_search, op13_vector_codes,
+        op11_lexical_search, op12_byte_pairs, op13_vector_codes,
     )
 }
 ORACLES = {"op7_secrets": secrets_scan.ORACLE, "op9_revisits": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op11_lexical_search": lexical_search.ORACLE, "op13_vector_codes": vector_codes.ORACLE}

@@ -17,6 +17,8 @@ _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 #: Bytes of one text that are split into words at a time.
 PIECE = 1 << 20
+#: Nodes with more than one link in so many are joined from memory; there are fewer than twice as many of them.
+HUB = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,22 +37,35 @@ def pieces(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
+def packed(rows: DataFrame, **keys: Column) -> DataFrame:
+    """``rows`` as one column ``row`` beside ``keys``, so that no column of theirs can clash with an internal name."""
+    return rows.select(F.struct("*").alias("row"), *[key.alias(name) for name, key in keys.items()])
+
+
+def _beside(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    """``u, v, m``: ``rows`` (u, v) with their ``least`` (u, m, n); rows of hubs, n of them each, stay where they are."""
+    hubs = least.where(F.col("n") * HUB > links).select("u", "m")
+    found = rows.join(F.broadcast(hubs), "u", "left").select("u", "v", "m")
+    others = least.where(F.col("n") * HUB <= links).select("u", "m")
+    return found.where("m is not null").unionByName(found.where("m is null").drop("m").join(others, "u").select("u", "v", "m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node that ``links`` (a long, b long) names: root is the least node it reaches.
 
     Alternating large-star and small-star rounds: each hangs a node's larger, then its smaller
     neighbours under the least, so no round makes more rows than there are links and no node's
-    neighbours are gathered. Each round is a written table, until one changes nothing.
+    neighbours are gathered: those of a node with a large share of all links stay spread. Each round is a written table, until one changes nothing.
     """
     edges = staged(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _beside(both.where("v > u"), least, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pairs = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = staged(large.join(least, "u").select(pairs.alias("p")).select("p.*").where("u != v").distinct())
+        edges = staged(_beside(large, least, mark[0]).select(pairs.alias("p")).select("p.*").where("u != v").distinct())
         before, mark = mark, _mark(edges)
         if mark == before:
             break
@@ -76,4 +91,4 @@ def running_before(rows: DataFrame, by: list[str], segment: Column, order: list[
     return summed.join(starts, [*by, "_segment"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_segment", "_start", "_inside")
 
 
-__all__ = ["WORD", "SPACE", "table", "pieces", "components", "running_before", "staged"]
+__all__ = ["WORD", "SPACE", "table", "packed", "pieces", "components", "running_before", "staged"]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import components, staged
+from citeloom.llm.common import components, packed, staged
 
 #: Most edits (insert, delete or replace one code point) between linked lines.
 THRESHOLD = 2
@@ -351,8 +351,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = 0)
 
 def rewritten(docs: DataFrame, marked: DataFrame, text: Column | None = None) -> DataFrame:
     """``docs`` with only the lines that ``deduplicated`` keeps, in place; all columns stay."""
-    gone = marked.where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # lines of one document
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    parts = F.split(docs["text"] if text is None else text, "\n")
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
-    return joined.select(*[left.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    gone = marked.where(~F.col("kept")).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("line_no").alias("gone"))  # lines of one document
+    rows = packed(docs, id=F.col("doc_id"), parts=F.split(F.col("text") if text is None else text, "\n"))
+    left = F.array_join(F.filter("parts", lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False))), "\n")
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("of")), "left").select(*[left.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

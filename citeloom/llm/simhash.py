@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import components, pieces, staged
+from citeloom.llm.common import components, packed, pieces, staged
 
 SEED = 42
 SHINGLE = 3
@@ -159,5 +159,5 @@ def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     A document stays if its component is its own; of repeated rows of one doc_id all stay
     (they are one document), and so do documents without an id.
     """
-    found = near_duplicates(docs, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return packed(docs, id=F.col("doc_id").cast("long")).join(found, F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -45,18 +45,31 @@ def check(rows, got, slack):
         assert abs(n - targets[s]) <= slack, (s, n, targets[s])
 
 
-@pytest.mark.parametrize("slots", [1 << 20, 500])
+@pytest.mark.parametrize("slots", [1 << 20, 500, 7])
 def test_targets_and_takes(spark, slots):
     rows = [(n, prose(n, 5 + n % 40), f"s{n % 7}" if n % 11 else None) for n in range(200)] + [(500, prose(5, 900), "s0")]
     got = mixing.mixed(docs(spark, rows), slots).collect()
-    words = max(1, -(-sum(sizes_of(rows).values()) // slots))
-    check(rows, got, 6 * words)
+    check(rows, got, 0.51)
     assert sorted(got) == sorted(mixing.mixed(docs(spark, rows).repartition(5), slots).collect())
 
 
+def test_sources_smaller_than_a_block(spark):
+    """Sources of a few words beside one of very many: blocks are far larger than they are."""
+    small = [(1, prose(1, 30), "b"), (2, prose(2, 20), "c"), (3, prose(3, 27), "c"), (4, prose(4, 50), None)]
+    rows = small + [(10 + n, prose(n, 4000), "a") for n in range(60)]
+    got = mixing.mixed(docs(spark, rows), 100).collect()
+    check(rows, got, 0.51)
+    assert {r.doc_id: r.taken for r in got if r.doc_id < 10} == {1: 90, 2: 60, 3: 81, 4: 150}
+    blocks = mixing.settled(mixing.targets(mixing.sizes(docs(spark, rows))), 100).collect()
+    assert sum(b.words for b in blocks) == pytest.approx(sum(sizes_of(rows).values()), abs=2) and min(b.words for b in blocks) > 0
+    assert sum(b.slot is None for b in blocks) <= 4  # the schedule gives all but the odd block
+    copies = mixing.materialise(docs(spark, rows), 100).where("doc_id < 10").groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in copies} == {1: 3, 2: 3, 3: 3, 4: 3}
+
+
 def test_given_documents(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source").collect()
-    check(table, entry.queries()["op10_mixing"](spark, "/root/testdata/sf0.001").collect(), 6)
+    check(table, entry.queries()["op10_mixing"](spark, "/root/testdata/sf0.001").collect(), 0.51)
 
 
 def test_odd_rows_match_sql(spark):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import staged
+from citeloom.llm.common import packed, staged
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own score.
@@ -47,12 +47,13 @@ def words(text: str | None) -> list[str]:
 
 
 def split_items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, question, answer`` of items that are one text: the last sentence is the answer; a single one is all question."""
-    last = r"^(?s:(.*[.?!]))\s+(?s:(\S.*))$"
-    two = F.regexp_like("text", F.lit(last))
-    return benchmark.select(
-        "item_id", F.when(two, F.regexp_extract("text", last, 1)).otherwise(F.col("text")).alias("question"), F.when(two, F.regexp_extract("text", last, 2)).alias("answer")
-    )
+    """``item_id, question, answer`` of items that are one text: no part of it is an answer of its own, so all of it is verified as one."""
+    return benchmark.select("item_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"))
+
+
+def found_enough(share: float, length: int, overlap: float) -> bool:
+    """Whether a part of ``length`` words is found: to ``overlap``, or but for one word if it is a short one of several words."""
+    return share >= overlap or length > 1 and share * length > length - 1.5
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,8 @@ def _hits(index: Index, texts: list[list[str]], least: float, overlap: float) ->
         terms = np.unique(ids[starts[text] + s : starts[text] + min(s + size, len(found))])
         for item, score in search(index, terms[terms < none].tolist(), least):
             q, a = verify(*index.items[item], found[max(0, s - step) : s + size + step])
-            if q >= overlap and a >= overlap and (q + a, score) > best.get((text, item), (0.0, 0.0))[:2]:
+            question, answer = index.items[item]
+            if q >= overlap and found_enough(a, len(answer), overlap) and (q + a, score) > best.get((text, item), (0.0, 0.0))[:2]:
                 best[text, item] = (q + a, score, s, q, a)
     for (text, item), (_, score, s, q, a) in sorted(best.items()):
         yield text, item, s, score, q, a
@@ -288,5 +290,5 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SCORE, overla
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test item; all columns stay. Documents without an id are judged together."""
-    bad = staged(contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = staged(contaminated(docs, items).select(F.col("doc_id").alias("bad")).distinct())
+    return packed(docs, id=F.col("doc_id").cast("long")).join(bad, F.col("id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

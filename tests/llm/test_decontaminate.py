@@ -64,6 +64,11 @@ def test_in_order_is_the_longest_common_subsequence():
         assert d.in_order(a, b) == best[-1][-1] / len(a)
 
 
+def enough(q, a, n):
+    """Question to 0.8; answer to 0.8, or all but one of its words."""
+    return q >= d.OVERLAP and (a >= d.OVERLAP or n > 1 and round(a * n) == n - 1)
+
+
 def plain(rows, items):
     """Every passage against every item, without an index."""
     parts = {i: (d.words(q), d.words(a)) for i, q, a in items}
@@ -83,7 +88,7 @@ def plain(rows, items):
         for s in range(0, max(1, len(w) - size + step), step) if w else ():
             have = set(w[s : s + size])
             for i, weights in share.items():
-                if sum(v for t, v in weights.items() if t in have) >= d.SCORE - 1e-9 and min(d.verify(*parts[i], w[max(0, s - step) : s + size + step])) >= d.OVERLAP:
+                if sum(v for t, v in weights.items() if t in have) >= d.SCORE - 1e-9 and enough(*d.verify(*parts[i], w[max(0, s - step) : s + size + step]), len(parts[i][1])):
                     found.add((doc, i))
     return found
 
@@ -126,4 +131,23 @@ def test_odd_rows_and_empty_tables(spark):
 def test_split_items(spark):
     rows = [(1, "One two. Three four? Five\nsix."), (2, "no end"), (3, None)]
     got = d.split_items(spark.createDataFrame(rows, "item_id long, text string")).orderBy("item_id").collect()
-    assert [tuple(r) for r in got] == [(1, "One two. Three four?", "Five\nsix."), (2, "no end", None), (3, None, None)]
+    assert [tuple(r) for r in got] == [(1, "One two. Three four? Five\nsix.", None), (2, "no end", None), (3, None, None)]
+
+
+def test_copies_that_differ_or_stop_at_the_last_sentence(spark):
+    vocabulary = [f"w{n}" for n in range(400)]
+    item = prose(1, 21, vocabulary) + ". The Alder."
+    lead = prose(2, 80, vocabulary)
+    rows = [(1, f"{lead} {item}"), (2, f"{lead} {item}".replace("Alder", "Elder")), (3, f"{lead} {item}".replace(" The Alder.", "")), (4, lead), (5, "The Alder.")]
+    one = d.split_items(spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {r.doc_id for r in d.contaminated(docs(spark, [(i, t, "a") for i, t in rows]), one).collect()} == {1, 2, 3}
+
+
+def test_a_short_answer_may_miss_one_word(spark):
+    vocabulary = [f"w{n}" for n in range(400)]
+    question = prose(3, 20, vocabulary)
+    items = spark.createDataFrame([(1, question, "red oak tree"), (2, prose(4, 20, vocabulary), "oak")], "item_id long, question string, answer string")
+    second = prose(4, 20, vocabulary)
+    rows = [(1, f"{question} red elm tree"), (2, f"{question} blue elm tree"), (3, f"{second} oak"), (4, f"{second} elm")]
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(docs(spark, [(i, t, "a") for i, t in rows]), items).collect()}
+    assert got == {(1, 1), (3, 2)}

@@ -10,16 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.session import staged
+
 DIGITS = 9
 #: Query vectors above this many bytes are not broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Rows of one block on either side of the distributed product.
 ITEM_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Width in radians of the shells that a list is cut into.
+SHELL = 0.1
 HITS = "query_id string, chunk_id string, score double"
 
 
@@ -150,42 +154,67 @@ def vector_topk(
     return _first_k(hits, k)
 
 
-def ivf_fit(items: DataFrame, lists: int = 100, seed: int = 7, iterations: int = 10) -> KMeansModel:
-    """Centroids of the vectors; the model is ``lists`` vectors, whatever the table size."""
-    rows = items.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=lists, seed=seed, maxIter=iterations, initSteps=2).fit(rows)
+def ivf_fit(items: DataFrame, lists: int = 100, seed: int = 7, iterations: int = 10) -> np.ndarray:
+    """Unit centres (one row per list) of the vectors by cosine; ``lists`` rows at most, whatever the table size.
+
+    Null and zero vectors, and those not of the most frequent length, have no part in them.
+    """
+    usable = items.where(F.exists("embedding", lambda x: x != 0)).select(F.col("embedding").cast("array<double>").alias("v"))
+    length = usable.agg(F.mode(F.size("v"))).first()[0]
+    if length is None:
+        return np.zeros((0, 0))
+    rows = usable.where(F.size("v") == length).select(array_to_vector("v").alias("features"))
+    model = KMeans(k=max(2, lists), seed=seed, maxIter=iterations, initSteps=2, distanceMeasure="cosine").fit(rows)
+    centres = np.asarray(model.clusterCenters())
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+
 
+def _angles(vectors: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles of the vectors to each centre, and which rows have a direction at all."""
+    unit = _matrix(vectors, centres.shape[1])
+    return np.arccos(np.clip(unit @ centres.T, -1.0, 1.0)), unit.any(axis=1)
 
-def ivf_assign(items: DataFrame, model: KMeansModel) -> DataFrame:
-    """Add ``cluster``: the list each vector belongs to. Partition the stored table by it."""
-    rows = items.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    return model.transform(rows).withColumnRenamed("prediction", "cluster").drop("features")
+
+def ivf_assign(items: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add ``cluster``, the list of the nearest centre, and ``angle`` to it; partition the stored table by cluster.
+
+    Vectors that score 0 with everything (null, zero, of another length) are list -1, angle 0.
+    """
+
+    @F.pandas_udf("cluster int, angle double")
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        if not len(centres):
+            return pd.DataFrame({"cluster": np.full(len(vectors), -1, np.int32), "angle": np.zeros(len(vectors))})
+        angles, real = _angles(vectors, centres)
+        nearest = angles.argmin(axis=1)
+        angle = angles[np.arange(len(nearest)), nearest]
+        return pd.DataFrame({"cluster": np.where(real, nearest, -1).astype(np.int32), "angle": np.where(real, angle, 0.0)})
+
+    return items.withColumn("_at", place("embedding")).select(*items.columns, "_at.cluster", "_at.angle")
 
 
 def write_clusters(assigned: DataFrame, path: str) -> None:
-    """Store assigned vectors one folder per cluster; a large cluster is spread over files."""
-    spread = assigned.repartition("cluster", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    """Store assigned vectors one folder per cluster, by angle within its files; a large cluster is spread over files."""
+    spread = assigned.repartition("cluster", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("cluster", "angle")
     spread.write.mode("overwrite").partitionBy("cluster").parquet(path)
 
 
-def _probes(queries: DataFrame, model: KMeansModel, nprobe: int) -> DataFrame:
-    centres = np.asarray(model.clusterCenters())
-
+def _probes(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        points = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        gaps = ((points**2).sum(1)[:, None] - 2 * points @ centres.T) + (centres**2).sum(1)[None, :]
-        return pd.Series(list(np.argsort(gaps, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
+        angles, _ = _angles(vectors, centres)
+        near = np.argsort(angles, axis=1, kind="stable")[:, :nprobe]
+        return pd.Series(list(np.insert(near, near.shape[1], -1, axis=1).astype(np.int32)))  # and vectors without a direction
 
     return queries.withColumn("cluster", F.explode(nearest("query_vec")))
 
 
 def ivf_topk(
-    queries: DataFrame, assigned: DataFrame, model: KMeansModel, k: int = 30, nprobe: int = 10, key: str = "workspace_id"
+    queries: DataFrame, assigned: DataFrame, centres: np.ndarray, k: int = 30, nprobe: int = 10, key: str = "workspace_id"
 ) -> DataFrame:
-    """Approximate top-k: only the ``nprobe`` lists nearest to a query are searched."""
-    nprobe = min(nprobe, len(model.clusterCenters()))
-    probed = _probes(queries.select(key, "query_id", "query_vec"), model, nprobe)
+    """Approximate top-k: only the ``nprobe`` lists nearest to a query are searched. ``ivf_search`` is exact."""
+    nprobe = min(nprobe, len(centres))
+    probed = _probes(queries.select(key, "query_id", "query_vec"), centres, nprobe)
     # at most as many as there are lists; prunes the folders of a table written by write_clusters
     wanted = [r["cluster"] for r in probed.select("cluster").distinct().collect()]
     assigned = assigned.filter(F.col("cluster").isin(wanted))
@@ -194,3 +223,75 @@ def ivf_topk(
     cells = assigned.select(cell, "chunk_id", "embedding")
     found = vector_topk(probes, cells, k, key="cell").drop("rank")
     return _first_k(found, k)
+
+
+def _shell(angle: Column) -> Column:
+    return F.floor(angle / SHELL).cast("int")
+
+
+def ivf_cells(assigned: DataFrame) -> pd.DataFrame:
+    """``cluster, shell, low, high, n``: the lists cut into shells of ``SHELL`` radians around their centres, with the angles that occur.
+
+    At most pi / ``SHELL`` rows per list, whatever the table size.
+    """
+    cut = assigned.groupBy("cluster", _shell(F.col("angle")).alias("shell"))
+    return cut.agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).orderBy("cluster", "shell").toPandas()
+
+
+def ivf_search(queries: DataFrame, assigned: DataFrame, centres: np.ndarray, k: int = 30, key: str = "workspace_id", first: int = 4096) -> DataFrame:
+    """Exact top-k over a clustered table, reading no more of it than the bounds ask for.
+
+    A vector at angle a to its centre, with the query at angle b, is at least |a - b| from the query
+    (triangle inequality on the sphere), so cos of the gap between b and a shell's angles bounds
+    every score in that shell. A query probes shells by falling bound, in waves: the first covers
+    about ``first`` vectors, each further one four times as many, until the bounds of all shells left are below
+    its k-th score. Waves are as few as the logarithm of the table; a query takes no part in a
+    wave once it is settled. ``assigned`` is what ``ivf_assign`` or ``write_clusters`` made.
+    """
+    spark = queries.sparkSession
+    table = ivf_cells(assigned)
+    clusters, shells, counts = (table[c].to_numpy() for c in ("cluster", "shell", "n"))
+    low, high = table["low"].to_numpy(), table["high"].to_numpy()
+
+    def picker(reach: int):
+        @F.pandas_udf("cells array<int>, upto int")
+        def pick(vectors: pd.Series, done: pd.Series, least: pd.Series) -> pd.DataFrame:
+            if len(centres):
+                angles, real = _angles(vectors, centres)
+                mine = angles[:, np.maximum(clusters, 0)]
+                bound = np.cos(np.maximum(np.maximum(low - mine, mine - high), 0.0))
+                bound[~real] = 0.0
+            else:
+                bound = np.zeros((len(vectors), len(clusters)))
+            bound[:, clusters < 0] = 0.0  # vectors without a direction score 0
+            cells, upto = [], []
+            for b, at, floor in zip(bound, done, least):
+                order = np.argsort(-b, kind="stable")
+                end = int(np.searchsorted(np.cumsum(counts[order]), reach)) + 1
+                open_ = int((b + 1e-8 >= floor).sum())  # they come first in this order
+                cells.append(order[at : max(at, min(end, open_))].astype(np.int32))
+                upto.append(max(at, min(end, open_)))
+            return pd.DataFrame({"cells": cells, "upto": np.array(upto, np.int32)})
+
+        return pick
+
+    cell_of = F.create_map(*[F.lit(x) for n, (c, s) in enumerate(zip(clusters, shells)) for x in (f"{c}:{s}", n)]) if len(table) else None
+    state = queries.select(key, "query_id", "query_vec", F.lit(0).alias("done"), F.lit(-2.0).alias("least"))
+    hits, reach = None, max(first, 4 * k)
+    while len(table):
+        picked = staged(state.withColumn("_p", picker(reach)("query_vec", "done", "least")).select(key, "query_id", "query_vec", "_p.cells", "_p.upto"))
+        probes = picked.select(key, "query_id", "query_vec", F.explode("cells").alias("cell"))
+        wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]  # at most one row per shell
+        if not wanted:
+            break
+        folders = sorted({int(clusters[c]) for c in wanted})
+        items = assigned.filter(F.col("cluster").isin(folders)).withColumn("_c", cell_of[F.concat_ws(":", "cluster", _shell(F.col("angle")))])
+        items = items.filter(F.col("_c").isin(wanted))
+        name = lambda c: F.concat_ws("|", key, c).alias("cell")
+        found = vector_topk(probes.select(name("cell"), "query_id", "query_vec"), items.select(name("_c"), "chunk_id", "embedding"), k, key="cell").drop("rank")
+        hits = staged(_first_k(found if hits is None else found.unionByName(hits.drop("rank")), k))
+        kth = hits.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("_s"))
+        state = picked.join(kth, F.col("query_id") == F.col("_q"), "left")
+        state = state.select(key, "query_id", "query_vec", F.col("upto").alias("done"), F.coalesce("_s", F.lit(-2.0)).alias("least"))
+        reach *= 4
+    return hits if hits is not None else spark.createDataFrame([], f"{HITS}, rank int")

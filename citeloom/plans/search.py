@@ -179,28 +179,37 @@ def vector_topk_blocks(spark, sf):
 ORACLES["vector_topk_blocks"] = ORACLES["vector_topk"]
 
 
-@query
-def ivf_topk(spark, sf):
-    """Clustered search over all vectors as one space: found hits per query."""
+def _one_space(spark, sf):
+    """All vectors as one space, each asked."""
     queries, items = labelled(spark, sf)
-    one = F.lit("all")
-    items, queries = items.withColumn("workspace_id", one), queries.withColumn("workspace_id", one)
-    return _shown(_clustered(spark, queries, items, 4))
+    return queries.withColumn("workspace_id", F.lit("all")), items.withColumn("workspace_id", F.lit("all"))
 
 
-def _clustered(spark, queries, items, nprobe):
-    """Vectors stored by cluster, then searched."""
-    model = vector_search.ivf_fit(items, lists=16)
+def _clustered(spark, items):
+    """Vectors stored by cluster, and the centres."""
+    centres = vector_search.ivf_fit(items, lists=16)
     path = f"{shared_dir(spark)}/clusters/{uuid.uuid4().hex}"
-    vector_search.write_clusters(vector_search.ivf_assign(items, model), path)
-    return vector_search.ivf_topk(queries, spark.read.parquet(path), model, K, nprobe)
+    vector_search.write_clusters(vector_search.ivf_assign(items, centres), path)
+    return spark.read.parquet(path), centres
+
+
+@query
+def ivf_topk(spark, sf):
+    """Clustered search over all vectors as one space: lists are probed until their bounds can't do better."""
+    queries, items = _one_space(spark, sf)
+    assigned, centres = _clustered(spark, items)
+    return _shown(vector_search.ivf_search(queries, assigned, centres, K))
+
+
+ORACLES["ivf_topk"] = ORACLES["vector_topk"].replace("JOIN embeddings c USING (label)", "CROSS JOIN embeddings c")
 
 
 @query
 def ivf_topk_all(spark, sf):
-    """The clustered search with every list probed is exact."""
+    """Within each label, the clustered search with every list probed is exact."""
     queries, items = labelled(spark, sf)
-    return _shown(_clustered(spark, queries, items, 16))
+    assigned, centres = _clustered(spark, items)
+    return _shown(vector_search.ivf_topk(queries, assigned, centres, K, 16))
 
 
 ORACLES["ivf_topk_all"] = ORACLES["vector_topk"]

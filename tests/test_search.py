@@ -55,16 +55,65 @@ def test_vector_topk_paths(spark, monkeypatch):
     assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in blocked.collect()) == sorted(expected)
 
 
+ITEM = "workspace_id string, chunk_id string, embedding array<float>"
+
+
+def _asked(items):
+    return items.select("workspace_id", F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def _rows(hits):
+    return sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 7)) for r in hits.collect())
+
+
 def test_ivf_recall(spark):
-    items = spark.createDataFrame(_vectors(spark, 200, ties=False), "workspace_id string, chunk_id string, embedding array<float>")
-    queries = items.select("workspace_id", F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    model = vector_search.ivf_fit(items, lists=8)
-    assigned = vector_search.ivf_assign(items, model)
+    items = spark.createDataFrame(_vectors(spark, 200, ties=False), ITEM)
+    queries = _asked(items)
+    centres = vector_search.ivf_fit(items, lists=8)
+    assigned = vector_search.ivf_assign(items, centres)
     exact = {(r["query_id"], r["chunk_id"]) for r in vector_search.vector_topk(queries, items, 5).collect()}
-    full = {(r["query_id"], r["chunk_id"]) for r in vector_search.ivf_topk(queries, assigned, model, 5, nprobe=8).collect()}
+    full = {(r["query_id"], r["chunk_id"]) for r in vector_search.ivf_topk(queries, assigned, centres, 5, nprobe=8).collect()}
     assert full == exact
-    some = {(r["query_id"], r["chunk_id"]) for r in vector_search.ivf_topk(queries, assigned, model, 5, nprobe=4).collect()}
+    some = {(r["query_id"], r["chunk_id"]) for r in vector_search.ivf_topk(queries, assigned, centres, 5, nprobe=4).collect()}
     assert len(some & exact) / len(exact) > 0.6
+    assert _rows(vector_search.ivf_search(queries, assigned, centres, 5, first=20)) == _rows(vector_search.vector_topk(queries, items, 5))
+
+
+def test_ivf_search_stops_early_and_is_exact(spark, monkeypatch):
+    """Tight clusters: the bounds settle every query long before all vectors are read."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    middles = draw.normal(size=(12, 16))
+    rows = [("a" if n % 3 else "b", f"i{n:04d}", (middles[n % 12] + 0.05 * draw.normal(size=16)).tolist()) for n in range(600)]
+    items = spark.createDataFrame(rows, ITEM)
+    queries = _asked(items.where("chunk_id < 'i0060'"))
+    centres = vector_search.ivf_fit(items, lists=12)
+    assigned = vector_search.ivf_assign(items, centres)
+    compared, measured = [], vector_search.vector_topk
+
+    def counted(probes, cells, k, key):
+        compared.append(probes.join(cells, key).count())
+        return measured(probes, cells, k, key)
+
+    monkeypatch.setattr(vector_search, "vector_topk", counted)
+    got = _rows(vector_search.ivf_search(queries, assigned, centres, 3, first=1))
+    assert got == _rows(measured(queries, items, 3))
+    assert sum(compared) < 60 * 600 / 3
+
+
+def test_ivf_search_takes_null_zero_and_short_vectors(spark):
+    rows = [("a", f"i{n}", v) for n, v in enumerate([[1.0, 0.0], [0.0, 2.0], [1.0, 1.0], None, [0.0, 0.0], [], [3.0], [1.0, 0.0], [-1.0, 0.2]])]
+    items = spark.createDataFrame(rows, ITEM)
+    centres = vector_search.ivf_fit(items, lists=2)
+    assigned = vector_search.ivf_assign(items, centres)
+    for k in (1, 3, 20):
+        assert _rows(vector_search.ivf_search(_asked(items), assigned, centres, k, first=1)) == _rows(vector_search.vector_topk(_asked(items), items, k))
+    none = items.limit(0)
+    empty = vector_search.ivf_fit(none, lists=2)
+    assert vector_search.ivf_search(_asked(items), vector_search.ivf_assign(none, empty), empty, 2).count() == 0
+    blank = items.where("embedding is null")
+    assert _rows(vector_search.ivf_search(_asked(items), vector_search.ivf_assign(blank, empty), empty, 2)) == _rows(vector_search.vector_topk(_asked(items), blank, 2))
 
 
 def naive_density(words, terms):

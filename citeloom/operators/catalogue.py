@@ -193,12 +193,20 @@ def run_history(documents: DataFrame, runs: DataFrame) -> DataFrame:
     return documents.select("document_id", "file_name", "status").join(numbered, "document_id", "left")
 
 
+def _last_of_each(rows: DataFrame) -> DataFrame:
+    """One row per document: the one finished last, started last, of the greatest run_id, where there are such columns; then the greatest row."""
+    first = [c for c in ("finished_at", "started_at", "run_id") if c in rows.columns]
+    order = F.struct(*first, *[c for c in rows.columns if c not in first])
+    return rows.groupBy("document_id").agg(F.max_by(F.struct("*"), order).alias("_r")).select("_r.*")
+
+
 def apply_success(documents: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents marked ready by their report, and the finished run rows.
 
-    ``reports(document_id, page_count, extracted_pages, failed_pages, ocr_used_pages, tags, chunk_count)``.
+    ``reports(document_id, page_count, extracted_pages, failed_pages, ocr_used_pages, tags, chunk_count)``;
+    of several reports of one document the last one counts for the document, each gives a run.
     """
-    new = reports.select("document_id", F.col("page_count").alias("_pages"), F.col("tags").alias("_tags"))
+    new = _last_of_each(reports).select("document_id", F.col("page_count").alias("_pages"), F.col("tags").alias("_tags"))
     joined = documents.join(new.withColumn("_done", F.lit(True)), "document_id", "left")
     done = F.col("_done").isNotNull()
     updated = (
@@ -227,7 +235,8 @@ def apply_success(documents: DataFrame, reports: DataFrame) -> tuple[DataFrame,
 
 
 def failure_reason(kind: Column, message: Column) -> Column:
-    """Reason text of an error kind: embedding and unexpected errors carry a prefix."""
+    """Reason text of an error kind: embedding and unexpected errors carry a prefix; a missing message is empty."""
+    message = F.coalesce(message, F.lit(""))
     return (
         F.when(kind == "embedding", F.concat(F.lit("embedding_error: "), message))
         .when(kind == "unexpected", F.concat(F.lit("unexpected_error: "), message))
@@ -238,12 +247,13 @@ def failure_reason(kind: Column, message: Column) -> Column:
 def apply_failure(documents: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents marked failed, and the run rows with the totals reached so far.
 
-    ``errors(document_id, kind, message, tags, extracted_pages, failed_pages, ocr_used_pages)``.
+    ``errors(document_id, kind, message, tags, extracted_pages, failed_pages, ocr_used_pages)``; of
+    several errors of one document the last one counts for the document, each gives a run.
     """
     reasoned = errors.withColumn("reason", failure_reason(F.col("kind"), F.col("message")))
-    new = reasoned.select("document_id", F.col("reason").alias("_reason"), F.col("tags").alias("_tags"))
-    joined = documents.join(new, "document_id", "left")
-    hit = F.col("_reason").isNotNull()
+    new = _last_of_each(reasoned).select("document_id", F.col("reason").alias("_reason"), F.col("tags").alias("_tags"))
+    joined = documents.join(new.withColumn("_hit", F.lit(True)), "document_id", "left")
+    hit = F.col("_hit").isNotNull()
     updated = (
         joined.withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
         .withColumn("fail_reason", F.when(hit, F.col("_reason")).otherwise(F.col("fail_reason")))

@@ -355,7 +355,10 @@ def _errors(spark, sf):
 
 @query
 def apply_success(spark, sf):
-    out = catalogue.apply_success(documents(spark, sf), _reports(spark, sf))[0]
+    """Every report comes after an older one with other pages and tags."""
+    last = _reports(spark, sf).withColumn("finished_at", F.lit(2))
+    older = last.withColumn("finished_at", F.lit(1)).withColumn("page_count", F.lit(99)).withColumn("tags", F.array(F.lit("OLD")))
+    out = catalogue.apply_success(documents(spark, sf), older.unionByName(last))[0]
     return out.select("document_id", "status", "page_count", joined("tags"), "fail_reason")
 
 
@@ -367,13 +370,17 @@ ORACLES["apply_success"] = oracle("""
 
 @query
 def apply_failure(spark, sf):
-    out = catalogue.apply_failure(documents(spark, sf), _errors(spark, sf))[0]
+    """A third of the errors have no message; each comes after an older one of another kind."""
+    last = _errors(spark, sf).withColumn("finished_at", F.lit(2))
+    last = last.withColumn("message", F.when(F.col("document_id").cast("long") % 4 > 0, F.col("message")))
+    older = last.withColumn("finished_at", F.lit(1)).withColumn("kind", F.lit("ingest")).withColumn("message", F.lit("older"))
+    out = catalogue.apply_failure(documents(spark, sf), last.unionByName(older))[0]
     return out.select("document_id", "status", joined("tags"), "fail_reason")
 
 
 ORACLES["apply_failure"] = oracle("""
     SELECT document_id, status, CASE WHEN status = 'failed' THEN array_to_string(list_sort([tag, 'UNSUPPORTED_TYPE']), ',') ELSE tag END AS tags,
-           CASE WHEN status = 'failed' THEN CASE doc_id % 3 WHEN 1 THEN 'embedding_error: ' WHEN 2 THEN 'unexpected_error: ' ELSE '' END || 'broken ' || lang ELSE fail_reason END AS fail_reason
+           CASE WHEN status = 'failed' THEN CASE doc_id % 3 WHEN 1 THEN 'embedding_error: ' WHEN 2 THEN 'unexpected_error: ' ELSE '' END || CASE WHEN doc_id % 4 > 0 THEN 'broken ' || lang ELSE '' END ELSE fail_reason END AS fail_reason
     FROM docs""")
 
 

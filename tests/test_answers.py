@@ -119,6 +119,21 @@ def test_success_and_failure(spark):
     assert runs.first()["log"]["reason"] == "unexpected_error: boom"
 
 
+def test_repeated_reports_and_errors_without_a_message(spark):
+    schema = "document_id string, status string, page_count int, tags array<string>, fail_reason string"
+    docs = spark.createDataFrame([("a", "processing", None, None, None), ("b", "processing", 4, ["t"], None)], schema)
+    columns = "document_id string, page_count int, extracted_pages int, failed_pages array<struct<page:int,reason:string>>, ocr_used_pages array<int>, tags array<string>, chunk_count int, finished_at int"
+    reports = spark.createDataFrame([("a", 9, 2, [], [], ["OLD"], 3, 1), ("a", 2, 2, [], [], ["NEW"], 4, 2), ("a", 5, 2, [], [], ["NONE"], 4, None)], columns)
+    updated, runs = catalogue.apply_success(docs, reports)
+    assert sorted((r["document_id"], r["status"], r["page_count"], r["tags"]) for r in updated.collect()) == [("a", "ready", 2, ["NEW"]), ("b", "processing", 4, ["t"])]
+    assert runs.count() == 3
+    columns = "document_id string, kind string, message string, tags array<string>, extracted_pages int, failed_pages array<struct<page:int,reason:string>>, ocr_used_pages array<int>"
+    errors = spark.createDataFrame([("a", "unexpected", None, ["x"], 1, [], []), ("b", "other", None, None, 0, None, None), ("b", "other", None, None, 0, None, None)], columns)
+    updated, runs = catalogue.apply_failure(docs, errors)
+    got = sorted((r["document_id"], r["status"], r["fail_reason"], r["tags"]) for r in updated.collect())
+    assert got == [("a", "failed", "unexpected_error: ", ["x"]), ("b", "failed", "", ["t"])] and runs.count() == 3
+
+
 def test_readers(spark, tmp_path):
     path = tmp_path / "facilities.csv"
     head = ",".join(readers.FACILITY_COLUMNS)

@@ -194,9 +194,9 @@ def run_history(documents: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _last_of_each(rows: DataFrame) -> DataFrame:
-    """One row per document: the one finished last, started last, of the greatest run_id, where there are such columns; then the greatest row."""
+    """One row per document: the one finished last, started last, of the greatest run_id, where there are such columns; then the one that is greatest as JSON."""
     first = [c for c in ("finished_at", "started_at", "run_id") if c in rows.columns]
-    order = F.struct(*first, *[c for c in rows.columns if c not in first])
+    order = F.struct(*first, F.to_json(F.struct(*rows.columns)))
     return rows.groupBy("document_id").agg(F.max_by(F.struct("*"), order).alias("_r")).select("_r.*")
 
 

@@ -14,6 +14,7 @@ from citeloom.sources import tables
 from citeloom.streaming import conversation as conversation_stream
 from citeloom.streaming import imports as import_stream
 from citeloom.streaming import ingest as ingest_stream
+from citeloom.streaming import parts as parts_stream
 
 QUERIES = {}
 ORACLES = {}
@@ -78,6 +79,81 @@ ORACLES["stream_runs"] = oracle(f"""
     UNION ALL SELECT document_id, 'superseded', '{ingest_stream.SUPERSEDED}', '', 0, 0 FROM docs WHERE doc_id % 7 = 0""")
 
 
+def _arriving_parts(spark, sf, out, lost):
+    """Scanned pages and paragraphs of documents as a stream of parts: those of a document spread over files, every sixth twice.
+
+    With ``lost``, every ninth document misses its first page; a day later one more document comes.
+    """
+    at = lambda day: F.timestamp_seconds(F.lit(1_700_000_000 + day * 86_400) + F.col("no"))
+    count = lambda rows, key: rows.join(rows.groupBy(key).agg(F.count("*").cast("int").alias("parts")), key)
+    none = F.lit(None).cast("string")
+    pages = count(view(spark, sf, "scans"), "document_id").join(view(spark, sf, "scan_ocr"), "document_id").select(
+        F.lit("ws0").alias("workspace_id"), "document_id", F.lit("page").alias("kind"), F.col("page").alias("no"), "parts", "raw_text", "ocr_text",
+        none.alias("style"), F.col("doc_ocr_text").alias("whole_ocr"),
+    )
+    paragraphs = count(view(spark, sf, "paragraphs"), "document_id").select(
+        F.lit("ws0").alias("workspace_id"), F.concat(F.lit("p"), "document_id").alias("document_id"), F.lit("paragraph").alias("kind"),
+        F.col("ordinal").alias("no"), "parts", F.col("text").alias("raw_text"), none.alias("ocr_text"), "style", none.alias("whole_ocr"),
+    )
+    rows = pages.unionByName(paragraphs).withColumn("arrived", at(0))
+    if lost:
+        rows = rows.filter(~((F.col("kind") == "page") & (F.col("no") == 1) & (F.col("document_id").cast("long") % 9 == 4)))
+    older = rows.filter("no % 6 = 2").withColumn("arrived", at(-1)).withColumn("raw_text", F.lit("superseded"))
+    rows.unionByName(older).repartition(6, "document_id", "no").write.parquet(f"{out}/arriving")
+    if lost:
+        late = rows.filter("kind = 'paragraph'").orderBy("document_id", "no").limit(1).withColumn("document_id", F.lit("late")).withColumn("parts", F.lit(1))
+        late.withColumn("arrived", at(1)).withColumn("style", F.lit("Normal")).coalesce(1).write.mode("append").parquet(f"{out}/arriving")
+    stream = spark.readStream.schema(parts_stream.PARTS).option("maxFilesPerTrigger", 2).parquet(f"{out}/arriving")
+    parts_stream.start_parts(stream, out, f"{out}/checkpoint", dim=8, size=300, overlap=40).awaitTermination()
+
+
+@query
+def stream_pages(spark, sf):
+    """Chunks of scanned documents whose pages arrive over several micro-batches."""
+    out = _fresh(spark)
+    _arriving_parts(spark, sf, out, lost=False)
+    chunks = parts_stream.read_chunks(spark, out).filter("page_start is not null or section_title = 'Document OCR'")
+    return chunks.select("document_id", "chunk_index", "text", "page_start", "page_end", "section_title")
+
+
+ORACLES["stream_pages"] = ingest.ORACLES["chunk_scans"]
+
+
+@query
+def stream_page_runs(spark, sf):
+    """Run records of documents that arrive in pages and paragraphs; those that miss one are given up."""
+    out = _fresh(spark)
+    _arriving_parts(spark, sf, out, lost=True)
+    runs = parts_stream.read_runs(spark, out)
+    failed = F.array_join(F.transform("failed_pages", lambda p: F.concat_ws("=", p["page"], p["reason"])), ",")
+    return runs.select(
+        "document_id", "status", "reason", F.array_join("tags", ",").alias("tags"), "page_count", "extracted_pages", failed.alias("failed_pages"),
+        F.array_join(F.col("ocr_used_pages").cast("array<string>"), ",").alias("ocr_used_pages"), F.col("log")["stage"].alias("stage"),
+        F.date_format("started_at", "yyyy-MM-dd").alias("started"),
+    )
+
+
+_LOST = "EXISTS (SELECT 1 FROM scans s WHERE s.document_id = r.document_id AND s.page = 1) AND CAST(document_id AS BIGINT) % 9 = 4"
+ORACLES["stream_page_runs"] = oracle(
+    f"""
+    SELECT document_id, CASE WHEN lost AND page_count > 1 THEN 'failed' WHEN chunked THEN 'ready' ELSE 'failed' END AS status,
+           CASE WHEN lost AND page_count > 1 THEN (page_count - 1) || ' of ' || page_count || ' parts arrived' WHEN NOT chunked THEN '{parts_stream.NO_CHUNKS}' END AS reason,
+           CASE WHEN lost AND page_count > 1 THEN '' ELSE array_to_string(list_sort(list_filter(list_concat([CASE WHEN chunked THEN 'EMBED_FALLBACK' END], string_split(tags, ',')), lambda x: x <> '')), ',') END AS tags,
+           CASE WHEN NOT lost THEN page_count END AS page_count, CASE WHEN lost THEN 0 ELSE extracted_pages END AS extracted_pages,
+           CASE WHEN lost THEN '' ELSE failed_pages END AS failed_pages, CASE WHEN lost THEN '' ELSE ocr_used_pages END AS ocr_used_pages,
+           CASE WHEN lost OR NOT chunked THEN 'failed' ELSE 'completed' END AS stage, first AS started
+    FROM (SELECT r.*, {_LOST} AS lost, document_id IN (SELECT document_id FROM scan_units) AS chunked,
+                 CASE WHEN {_LOST} AND r.page_count = 1 THEN NULL ELSE '2023-11-14' END AS first FROM reported r)
+    WHERE first IS NOT NULL
+    UNION ALL
+    SELECT 'p' || document_id, CASE WHEN n > 0 THEN 'ready' ELSE 'failed' END, CASE WHEN n = 0 THEN '{parts_stream.NO_CHUNKS}' END,
+           CASE WHEN n > 0 THEN 'EMBED_FALLBACK' ELSE '' END, NULL, CAST(n > 0 AS INT), '', '', CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END, '2023-11-14'
+    FROM (SELECT document_id, count(*) FILTER (lower(coalesce(style, '')) NOT LIKE 'heading%' AND trim(text) <> '') AS n FROM paragraphs GROUP BY document_id)
+    UNION ALL SELECT 'late', 'ready', NULL, 'EMBED_FALLBACK', NULL, 1, '', '', 'completed', '2023-11-15'""",
+    **ingest._SCAN_VIEWS,
+)
+
+
 @query
 def stream_conversation(spark, sf):
     """Turns arriving as files, resolved with state per conversation and answered."""

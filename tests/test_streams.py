@@ -1,6 +1,6 @@
 import pytest
 
-from citeloom.streaming import imports, ingest
+from citeloom.streaming import imports, ingest, parts
 
 
 def test_incremental_ingest(spark, tmp_path):
@@ -82,3 +82,58 @@ def test_import_stream(spark, tmp_path):
 
     assert arrive([("w", 1, "f1", "a.mp4", None, "1"), ("w", 2, "f2", "b.pdf", None, "1")]) == [("drive://f1", "a.mp4")]
     assert arrive([("w", 1, "f1", "renamed.mp4", None, "1"), ("w", 3, "f3", "c.webm", None, "1")]) == [("drive://f1", "a.mp4"), ("drive://f3", "c.webm")]
+
+
+def _part(doc, kind, no, of, body, second, style=None, whole=None):
+    import datetime
+
+    return ("w", doc, kind, no, of, body, None, style, whole, datetime.datetime(2024, 1, 1, 0, 0, second % 60) + datetime.timedelta(seconds=second))
+
+
+def test_documents_in_parts(spark, tmp_path):
+    """Parts in any order, over several runs, repeated and missing; each document is ingested once, when it is whole."""
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    long = "a page of text that is long enough to count as native"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, parts.PARTS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(parts.PARTS).parquet(source)
+        parts.start_parts(stream, out, mark, dim=4, size=400, overlap=0, patience=100).awaitTermination()
+        return {r["document_id"]: (r["page_start"], r["page_end"], r["section_title"], r["text"]) for r in parts.read_chunks(spark, out).collect()}
+
+    assert arrive([_part("a", "page", 2, 2, f"{long} two", 1), _part("b", "paragraph", 1, 2, "body", 1), _part("b", "paragraph", 0, 2, "Head", 1, "Heading 1"), _part(None, "page", 1, 1, "x", 1)]) == {
+        "b": (None, None, "Head", "body")
+    }
+    # page 1 comes twice, the later one counts; c never gets its second page, d has nothing to read but its whole text
+    got = arrive([_part("a", "page", 1, 2, "old", 2), _part("a", "page", 1, 2, f"{long} one", 3), _part("c", "page", 1, 2, long, 3), _part("d", "page", 1, 1, "", 3, whole="read from all of it")])
+    assert got["a"] == (1, 2, None, f"{long} one\n{long} two") and got["d"][2:] == ("Document OCR", "read from all of it") and "c" not in got
+    # e declares no number: it is taken as it is once time has moved on; f has no text at all
+    got = arrive([_part("e", "page", 1, None, f"{long} e", 4), _part("f", "page", 1, 1, None, 5)])
+    assert "e" not in got
+    got = arrive([_part("b", "paragraph", 0, 1, "anew", 900)])
+    assert got["b"][3] == "anew" and got["e"][3] == f"{long} e" and "c" not in got
+    runs = {(r["document_id"], r["version"]): r for r in parts.read_runs(spark, out).collect()}
+    assert set(runs) == {("b", 0), ("a", 1), ("d", 1), ("f", 2), ("b", 3), ("c", 3), ("e", 3)}
+    assert runs["c", 3]["reason"] == "1 of 2 parts arrived" and runs["c", 3]["log"]["stage"] == "failed"
+    assert (runs["f", 2]["reason"], runs["f", 2]["failed_pages_count"], runs["f", 2]["page_count"]) == (parts.NO_CHUNKS, 1, 1)
+    assert runs["a", 1]["started_at"] < runs["a", 1]["finished_at"] and runs["a", 1]["log"]["chunk_count"] == "1"
+    assert runs["d", 1]["ocr_used_pages"] == [1] and "DOC_OCR" in runs["d", 1]["tags"]
+    docs = spark.createDataFrame([(i, "processing", None, ["t"], None) for i in "abcz"], "document_id string, status string, page_count int, tags array<string>, fail_reason string")
+    after = {r["document_id"]: r for r in parts.read_documents(spark, out, docs).collect()}
+    assert (after["a"]["status"], after["a"]["page_count"]) == ("ready", 2) and after["c"]["fail_reason"] == "1 of 2 parts arrived" and after["z"]["status"] == "processing"
+
+
+def test_a_repeated_batch_of_parts_writes_the_same(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in (1, 2):
+        spark.createDataFrame([_part("a", "page", n, 2, "a page of text that is long enough to count as native", n)], parts.PARTS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(parts.PARTS).parquet(source)
+        parts.start_parts(stream, out, str(tmp_path / "mark"), dim=4, size=400, overlap=0).awaitTermination()
+    before = (parts.read_chunks(spark, out).collect(), parts.read_runs(spark, out).collect())
+    commit = max((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commit.write_text("not a commit")  # as if the driver had been lost before the last commit
+    for log in (commit, commit.parent / f".{commit.name}.crc"):
+        log.unlink(missing_ok=True)
+    stream = spark.readStream.schema(parts.PARTS).parquet(source)
+    parts.start_parts(stream, out, str(tmp_path / "mark"), dim=4, size=400, overlap=0).awaitTermination()
+    assert (parts.read_chunks(spark, out).collect(), parts.read_runs(spark, out).collect()) == before and len(before[0]) == 1

@@ -48,7 +48,12 @@ def band(texts: DataFrame) -> DataFrame:
 
 
 def signature(text: Column, lexicon: Column) -> Column:
-    """One 32-bit hash per lexicon, null where the text has no term in it."""
+    """One 32-bit hash per lexicon, null where the text has no term in it.
+
+    A text without any term of the band has the hash of all its terms everywhere, so that it is
+    like texts of the same terms alone.
+    """
+    short = lambda found: F.shiftright(F.xxhash64(found), 32).cast("int")
 
     def inside(term: Column) -> Column:
         cell = _cell(term)
@@ -56,7 +61,7 @@ def signature(text: Column, lexicon: Column) -> Column:
 
     def level(kept: Column, bits: int, parts: int, at: int) -> Column:
         part = lambda t: F.shiftright(t, at).bitwiseAND((1 << bits) - 1)
-        hashed = lambda chosen: F.when(F.size(chosen) > 0, F.shiftright(F.xxhash64(chosen), 32).cast("int"))
+        hashed = lambda chosen: F.when(F.size(chosen) > 0, short(chosen))
         of_some = F.filter(kept, lambda t: part(t) < parts)
         # an array of one entry, so that the narrowed list is made once and not once for each part
         return F.flatten(F.transform(F.array(of_some), lambda some: F.transform(F.array(*map(F.lit, range(parts))), lambda p: hashed(F.filter(some, lambda t: part(t) == p)))))
@@ -65,7 +70,12 @@ def signature(text: Column, lexicon: Column) -> Column:
         places = [FIRST_BIT + sum(b for b, _ in LEVELS[:i]) for i in range(len(LEVELS))]
         return F.concat(*(level(kept, bits, parts, at) for (bits, parts), at in zip(LEVELS, places)))
 
-    return F.flatten(F.transform(F.array(F.array_sort(F.filter(terms(text), inside))), levels))
+    def signed(found: Column) -> Column:
+        alone = F.array_repeat(short(F.array_sort(found)), sum(parts for _, parts in LEVELS))
+        kept = F.array(F.array_sort(F.filter(found, inside)))
+        return F.flatten(F.transform(kept, lambda some: F.when(F.size(some) > 0, levels(some)).otherwise(alone)))
+
+    return F.flatten(F.transform(F.array(terms(text)), signed))
 
 
 def written(signatures: Column) -> Column:
@@ -75,7 +85,7 @@ def written(signatures: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the lexicons in which either text has terms that have the same hash; 1 where neither has any."""
+    """Share of the lexicons in which either text has terms that have the same hash."""
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
     either = F.size(F.filter(pairs, lambda x: x["a"].isNotNull() | x["b"].isNotNull()))
     same = F.size(F.filter(pairs, lambda x: x["a"] == x["b"]))

@@ -23,6 +23,11 @@ def plain_terms(text):
 def plain_signature(text, cells):
     kept = sorted(t for t in plain_terms(text) if t & (m.CELLS - 1) in cells)
     out, at = [], m.FIRST_BIT
+    if not kept:
+        h = 42
+        for t in sorted(plain_terms(text)):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", t), h)
+        return [h >> 32] * sum(parts for _, parts in m.LEVELS)
     for bits, parts in m.LEVELS:
         for p in range(parts):
             h, some = 42, [t for t in kept if (t >> at) & ((1 << bits) - 1) == p]
@@ -83,3 +88,14 @@ def test_equal_texts_have_equal_fingerprints(spark):
     found = {}
     for r, (_, t, _) in zip(m.fingerprints(docs(spark, odd_rows())).collect(), odd_rows()):
         assert found.setdefault(t or "", r.fingerprint) == r.fingerprint
+
+
+def test_texts_without_terms_of_the_band(spark):
+    """Texts of words that no other one has are like themselves alone, and like texts of the same words."""
+    words = [f"only{n}x" for n in range(60)]
+    rows = [(n, " ".join(words[n * 10 : n * 10 + 10]), "a") for n in range(5)] + [(5, "", "a"), (6, None, "a"), (7, "?!", "a")]
+    found = m.edited(docs(spark, rows)).collect()
+    assert got(m.edited(docs(spark, rows))) == plain([(i, t) for i, t, _ in rows])
+    near = {r.doc_id: r.near_next for r in found}
+    assert [near[n] for n in range(1, 5)] == [0.0] * 4 and near[7] == near[6] == 1.0
+    assert len({r.fingerprint for r in found if r.doc_id < 5}) == 5

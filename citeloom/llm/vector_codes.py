@@ -10,6 +10,7 @@ remembered. Distances are then taken to those alone, exactly.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,20 @@ def whole(vectors: DataFrame, *keep: Column) -> DataFrame:
     return rows.select(*keep, F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("y"))
 
 
+def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and for each row the place of its like; rows are numbered in mixed radix where that fits 62 bits."""
+    low = cells.min(0)
+    spans = [int(n) for n in cells.max(0) - low + 1]
+    if math.prod(spans) >= 1 << 62:
+        found, of = np.unique(cells, axis=0, return_inverse=True)
+        return found, of.reshape(-1)
+    number = np.zeros(len(cells), np.int64)
+    for n, span in enumerate(spans):
+        number = number * span + (cells[:, n] - low[n])
+    _, first, of = np.unique(number, return_index=True, return_inverse=True)
+    return cells[first], of
+
+
 class Cells:
     """Nearest entries of one codebook, remembering for each grid cell which entries can be nearest in it."""
 
@@ -62,7 +77,7 @@ class Cells:
         return least <= most.min(1, keepdims=True)
 
     def _allowed(self, parts: np.ndarray) -> np.ndarray:
-        cells, of = np.unique(parts >> self.shift, axis=0, return_inverse=True)
+        cells, of = _distinct(parts >> self.shift)
         keys = [c.tobytes() for c in cells]
         new = [n for n, key in enumerate(keys) if key not in self.known]
         self.looked, self.bounded = self.looked + len(keys), self.bounded + len(new)
@@ -75,7 +90,7 @@ class Cells:
             self.known.clear()
         for n in new[:CELLS]:
             self.known[keys[n]] = masks[n].copy()
-        return masks[of.reshape(-1)]
+        return masks[of]
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of the nearest entry to each of ``parts``; ties go to the lower index."""
@@ -115,7 +130,8 @@ def _sums(books: np.ndarray):
                 mine = rows[:, p * width : (p + 1) * width]
                 codes, _ = cells[p].nearest(mine)
                 counts[p] += np.bincount(codes, minlength=entries)
-                np.add.at(sums[p], codes, mine)
+                for n in range(width):  # exact: whole numbers far below 2^53
+                    sums[p, :, n] += np.bincount(codes, mine[:, n], entries).astype(np.int64)
         part, entry = np.nonzero(counts)
         columns = [pa.array(part, pa.int32()), pa.array(entry, pa.int32()), pa.array(counts[part, entry]), pa.array(list(sums[part, entry]), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["part", "entry", "n", "total"])

@@ -1,64 +1,82 @@
 """Document fingerprints by I-Match with randomised lexicons, in DataFrame operations only.
 
 Terms whose share of documents lies within a band make up the lexicon; common and single terms
-say nothing about which text this is. Several random parts of the lexicon, of four densities so
+say nothing about which text this is. Shares are those of distinct texts, so that copies of a text
+don't push its terms out of the band, and are counted term by term. Several random parts of the lexicon, of four densities so
 that texts of any length have parts with a term or two, each give one hash of the text's sorted
 distinct terms in them. The likeness of two fingerprints is the share of equal hashes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import staged
 
-#: Terms are counted by hash, in so many cells, a bound on the size of the lexicon.
-CELLS = 1 << 18
-#: The band: from so many documents to this share of all documents.
-LEAST_DOCS, MOST_SHARE = 2, 0.2
+#: The band: terms of two texts at least and of this share of all distinct texts, or ``MOST_LEAST``, at most.
+MOST_SHARE, MOST_LEAST = 0.2, 3
 #: Lexicons: (bits, parts): the first parts of 2^bits random parts of the band.
 LEVELS = ((2, 4), (4, 8), (6, 8), (8, 8))
-#: Bits of a term's hash below those that choose its cell and its parts.
+#: Bits of a term's hash below those that choose its parts.
 FIRST_BIT = 24
 
+# A word's letters at the start of a text, and at its end (the look behind keeps the search linear in long words).
+FIRST_RUN = r"^[\p{L}\p{N}]*+"
+LAST_RUN = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]*+\z"
+
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct words of a text: runs of letters and digits in lower case."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    """Hashes of the distinct words of a text: runs of letters and digits, in lower case."""
+    words = F.split(text, r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), _hash))
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """``term, n, h``: in how many distinct texts each term is, and the hash of one of them.
+
+    Each of the copies of a text (equal h) counts as its part of one. Terms are counted within
+    tasks before they are exchanged; a text of very many copies is split among tasks by AQE where
+    the hashes of repeated texts are too many to broadcast.
+    """
+    copies = texts.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
+    each = texts.select("h", "text").join(copies, "h", "left")
+    each = each.select("h", (1 / F.coalesce("rows", F.lit(1))).alias("part"), F.explode(terms(F.col("text"))).alias("term"))
+    return each.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n"), F.min("h").alias("h"))
 
 
-def _cell(term: Column) -> Column:
-    return term.bitwiseAND(CELLS - 1)
+def common(texts: DataFrame, counted: DataFrame) -> Column:
+    """The terms above the band as a constant array.
+
+    Their number is at most the mean number of terms of a text by ``MOST_SHARE``, whatever the
+    number of texts.
+    """
+    most = texts.agg(F.greatest(F.lit(MOST_LEAST), F.ceil(F.count_distinct("h") * MOST_SHARE)).alias("most")).first()["most"]
+    found = counted.where(F.col("n") > most).agg(F.array_sort(F.collect_list("term")).alias("terms")).first()["terms"]
+    return F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>") if found else _none()
 
 
-def band(texts: DataFrame) -> DataFrame:
-    """One row with the cells inside the band as the bits of an array of longs, from counts over all documents."""
-    cells = texts.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), _cell))).alias("cell"))
-    counted = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    bounds = texts.agg(F.greatest(F.lit(LEAST_DOCS + 1), F.ceil(F.count("*") * MOST_SHARE)).alias("most"))
-    inside = counted.crossJoin(F.broadcast(bounds)).where((F.col("n") >= LEAST_DOCS) & (F.col("n") <= F.col("most")))  # one row
-    longs = inside.groupBy(F.expr("cell div 64").cast("int").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits"))
-    every = texts.sparkSession.range(CELLS // 64).select(F.col("id").cast("int").alias("slot")).join(longs, "slot", "left")
-    listed = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))  # CELLS / 64 entries
-    return every.agg(F.transform(listed, lambda x: x["bits"]).alias("band"))
+def single(counted: DataFrame) -> DataFrame:
+    """``h, single``: the terms that no other text has, by text; a list is no longer than its text."""
+    return counted.where("n = 1").groupBy("h").agg(F.collect_list("term").alias("single"))
 
 
-def signature(text: Column, lexicon: Column) -> Column:
-    """One 32-bit hash per lexicon, null where the text has no term in it.
+def signature(text: Column, outside: Column) -> Column:
+    """One 32-bit hash per lexicon, null where the text has no term in it; ``outside`` lists its terms that the band leaves out.
 
     A text without any term of the band has the hash of all its terms everywhere, so that it is
     like texts of the same terms alone.
     """
     short = lambda found: F.shiftright(F.xxhash64(found), 32).cast("int")
 
-    def inside(term: Column) -> Column:
-        cell = _cell(term)
-        return F.getbit(F.get(lexicon, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(63).cast("int")) == 1
-
     def level(kept: Column, bits: int, parts: int, at: int) -> Column:
         part = lambda t: F.shiftright(t, at).bitwiseAND((1 << bits) - 1)
         hashed = lambda chosen: F.when(F.size(chosen) > 0, short(chosen))
@@ -72,7 +90,7 @@ def signature(text: Column, lexicon: Column) -> Column:
 
     def signed(found: Column) -> Column:
         alone = F.array_repeat(short(F.array_sort(found)), sum(parts for _, parts in LEVELS))
-        kept = F.array(F.array_sort(F.filter(found, inside)))
+        kept = F.array(F.array_sort(F.array_except(found, outside)))
         return F.flatten(F.transform(kept, lambda some: F.when(F.size(some) > 0, levels(some)).otherwise(alone)))
 
     return F.flatten(F.transform(F.array(terms(text)), signed))
@@ -103,16 +121,18 @@ def _number(key: Column) -> Column:
     return F.when(key != "", key.cast("long"))
 
 
-def lexicon(docs: DataFrame) -> Column:
-    """The band of a corpus as a constant array for ``signature``: CELLS / 64 numbers, whatever the corpus."""
-    bits = staged(band(_texts(docs))).first()["band"]
-    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+def _outside(known: Column, *more: str) -> Column:
+    return F.concat(known, *(F.coalesce(F.col(c), _none()) for c in more))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` of every row of ``docs`` (doc_id, text); a null text counts as empty."""
     texts = _texts(docs)
-    return texts.select(_number(F.col("id")).alias("doc_id"), written(signature(F.col("text"), lexicon(docs))).alias("fingerprint"))
+    counted = staged(vocabulary(texts))
+    known = common(texts, counted)
+    own = staged(texts.select("id", "h").distinct().join(single(counted), "h"))
+    sig = signature(F.col("text"), _outside(known, "single"))
+    return texts.join(own, ["id", "h"], "left").select(_number(F.col("id")).alias("doc_id"), written(sig).alias("fingerprint"))
 
 
 def followers(texts: DataFrame) -> DataFrame:
@@ -135,6 +155,29 @@ def followers(texts: DataFrame) -> DataFrame:
     return linked.select("next.id", "next.h", F.col("id").alias("to_id"), F.col("h").alias("to_h"), "half")
 
 
+def cut_words(base: DataFrame, texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """``id, h, foreign``: the words made by cutting a document's text and the next one's, where the band has no such term.
+
+    An edited text's words are the document's and the next one's but for two: that over the seam
+    and the last. ``base`` holds the next documents with ``to_id, to_h, head``.
+    """
+    run = lambda text, which: F.regexp_extract(text, which, 0)
+    first, last = run(F.col("head"), FIRST_RUN), run(F.col("head"), LAST_RUN)
+    whole = F.char_length(first) == F.char_length("head")
+    heads = base.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), first.alias("first"), F.when(whole, "").otherwise(last).alias("last"))
+    left = texts.select("id", "h", run(_left(F.col("text")), LAST_RUN).alias("before"))
+    both = heads.dropDuplicates(["id", "h"]).join(left.dropDuplicates(["id", "h"]), ["id", "h"])
+    made = F.filter(F.array(F.concat("before", "first"), F.col("last")), lambda w: w != "")
+    asked = both.select("id", "h", F.explode(F.transform(made, _hash)).alias("term"))
+    foreign = asked.join(counted.where("n > 1").select("term"), "term", "left_anti")
+    return foreign.groupBy("id", "h").agg(F.collect_set("term").alias("foreign"))
+
+
+def _left(text: Column) -> Column:
+    """What an edited text keeps of its document's."""
+    return F.substring(text, F.lit(1), F.char_length(text) - F.floor(F.char_length(text) / 2).cast("int"))
+
+
 def edited(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
 
@@ -143,20 +186,23 @@ def edited(docs: DataFrame) -> DataFrame:
     null doc_id comes last. A repeated row (equal doc_id and text) is one document, which gives a
     row each time; rows of one doc_id with different texts are different documents. A document
     alone is its own next. Other columns are not looked at; no rows give no rows. Equal texts have
-    equal fingerprints.
+    equal fingerprints, edited ones too: the words that an edit makes are looked up in the vocabulary.
 
-    Both joins use one exchange of the texts; besides, only the beginnings move.
+    All joins of texts use one exchange of them; besides, beginnings and the narrow lists of single terms move.
     """
     texts = _texts(docs)
-    known = lexicon(docs)
-    base = texts.withColumn("sig", signature(F.col("text"), known))
-    head = F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head")
-    heads = base.join(staged(followers(texts)), ["id", "h"]).select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), head, F.col("sig").alias("next_sig"))
-    pairs = base.join(heads.dropDuplicates(["id", "h"]), ["id", "h"])
-    chars = F.char_length("text")
-    text = F.concat(F.substring(F.col("text"), F.lit(1), chars - F.expr("char_length(text) div 2").cast("int")), F.col("head"))
-    made = pairs.select(_number(F.col("id")).alias("doc_id"), chars.cast("long").alias("n_chars"), text.alias("edited"), "sig", "next_sig")
-    signed = made.withColumn("edited_sig", signature(F.col("edited"), known))
+    counted = staged(vocabulary(texts))
+    known = common(texts, counted)
+    onward = staged(followers(texts).join(single(counted), "h", "left"))
+    base = texts.join(onward, ["id", "h"]).withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("half")))
+    sig = signature(F.col("text"), _outside(known, "single"))
+    heads = base.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.col("head").alias("end"), sig.alias("next_sig"), F.col("single").alias("next_single"))
+    pairs = base.join(heads.dropDuplicates(["id", "h"]), ["id", "h"]).join(cut_words(base, texts, counted), ["id", "h"], "left")
+    made = pairs.select(
+        _number(F.col("id")).alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.concat(_left(F.col("text")), F.col("end")).alias("edited"),
+        sig.alias("sig"), "next_sig", "single", "next_single", "foreign",
+    )
+    signed = made.withColumn("edited_sig", signature(F.col("edited"), _outside(known, "single", "next_single", "foreign")))
     return signed.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written(F.col("sig")).alias("fingerprint"),
         written(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),

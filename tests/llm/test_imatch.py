@@ -16,12 +16,12 @@ def signed(x):
 
 
 def plain_terms(text):
-    words = {w for w in re.split(r"[^\w]+|_+", text.lower()) if w}
-    return {signed(xxhash.xxh64_intdigest(w, 42)) for w in words}
+    words = {w for w in re.split(r"[^\w]+|_+", text) if w}
+    return {signed(xxhash.xxh64_intdigest(w.lower(), 42)) for w in words}
 
 
-def plain_signature(text, cells):
-    kept = sorted(t for t in plain_terms(text) if t & (m.CELLS - 1) in cells)
+def plain_signature(text, band):
+    kept = sorted(plain_terms(text) & band)
     out, at = [], m.FIRST_BIT
     if not kept:
         h = 42
@@ -46,11 +46,11 @@ def near(a, b):
 def plain(rows):
     rows = [(i, t or "") for i, t in rows]
     counts = {}
-    for _, t in rows:
-        for c in {x & (m.CELLS - 1) for x in plain_terms(t)}:
-            counts[c] = counts.get(c, 0) + 1
-    most = max(m.LEAST_DOCS + 1, -(-len(rows) * m.MOST_SHARE // 1))
-    cells = {c for c, n in counts.items() if m.LEAST_DOCS <= n <= most}
+    for t in {t for _, t in rows}:
+        for x in plain_terms(t):
+            counts[x] = counts.get(x, 0) + 1
+    most = max(m.MOST_LEAST, -(-len({t for _, t in rows}) * m.MOST_SHARE // 1))
+    band = {x for x, n in counts.items() if 2 <= n <= most}
     order = sorted(set(rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1], 42))))
     text = lambda s: "".join("-" * 8 if x is None else f"{x:08x}" for x in s)
     out = []
@@ -59,7 +59,7 @@ def plain(rows):
         _, u = onward[i, t]
         half = len(t) // 2
         edited = t[: len(t) - half] + u[:half]
-        a, b, c = (plain_signature(x, cells) for x in (t, edited, u))
+        a, b, c = (plain_signature(x, band) for x in (t, edited, u))
         out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), round(near(a, b), 9), round(near(a, c), 9)))
     return sorted(out, key=str)
 
@@ -99,3 +99,20 @@ def test_texts_without_terms_of_the_band(spark):
     near = {r.doc_id: r.near_next for r in found}
     assert [near[n] for n in range(1, 5)] == [0.0] * 4 and near[7] == near[6] == 1.0
     assert len({r.fingerprint for r in found if r.doc_id < 5}) == 5
+
+
+def test_copies_count_once_and_single_terms_stay_out(spark):
+    """A group of copies keeps its terms in the band; a word of one text only changes no fingerprint."""
+    texts = [" ".join(f"w{m % 30}x{k}" for m in (n, n + 1) for k in range(30)) for n in range(30)]  # each word in two of thirty
+    rows = [(n, t, "a") for n, t in enumerate(texts)] + [(100 + n, texts[3], "a") for n in range(40)]
+    rows += [(200, texts[5] + " onlyhere7", "a"), (201, texts[5].replace(" ", "  ", 3), "a")]
+    assert got(m.edited(docs(spark, rows))) == plain([(i, t) for i, t, _ in rows])
+    found = {r.doc_id: r.fingerprint for r in m.fingerprints(docs(spark, rows)).collect()}
+    assert found == {r.doc_id: r.fingerprint for r in m.edited(docs(spark, rows)).collect()}
+    assert found[3] == found[100] and "-" * 8 * 28 != found[3] and found[200] == found[201] == found[5]
+
+
+def test_words_made_by_the_edit(spark):
+    """A word over the seam or at the end that other texts hold is a term; one that no two texts hold is none."""
+    rows = [(3, "alpha beta abxx", "a"), (2, "cd gamma deltoid", "a"), (1, "xabcd abcd gam", "a"), (0, "abcd gam xyab zz", "a"), (9, "ΑΣ ΣΑΣ ΟΔΟΣ x", "a"), (8, "Σ ος", "a"), (7, "w" * 70_000, "a"), (6, "w" * 70_001, "a")]
+    assert got(m.edited(docs(spark, rows))) == plain([(i, t) for i, t, _ in rows])

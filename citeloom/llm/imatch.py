@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import staged
+from citeloom.llm.common import HUB, staged
 
 #: The band: terms of two texts at least and of this share of all distinct texts, or ``MOST_LEAST``, at most.
 MOST_SHARE, MOST_LEAST = 0.2, 3
@@ -43,12 +43,17 @@ def _none() -> Column:
 def vocabulary(texts: DataFrame) -> DataFrame:
     """``term, n, h``: in how many distinct texts each term is, and the hash of one of them.
 
-    Each of the copies of a text (equal h) counts as its part of one. Terms are counted within
-    tasks before they are exchanged; a text of very many copies is split among tasks by AQE where
-    the hashes of repeated texts are too many to broadcast.
+    Each of the copies of a text (equal h) counts as its part of one. Texts stay in place while the
+    list of repeated hashes is small; beyond, they move by hash, but for the copies of the fewer than
+    ``HUB`` hashes with the most rows, which are joined from memory and dealt out anew.
+    Terms are counted within tasks before they are exchanged.
     """
-    copies = texts.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
-    each = texts.select("h", "text").join(copies, "h", "left")
+    copies = staged(texts.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"))
+    bound = F.col("rows") * HUB > (copies.agg(F.sum("rows").alias("all")).first()["all"] or 0)
+    hot = F.broadcast(copies.where(bound).select("h", F.col("rows").alias("hot")))
+    key = F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("id", "h"))
+    dealt = texts.join(hot, "h", "left").withColumn("key", key)
+    each = dealt.join(copies.where(~bound).select(F.col("h").alias("key"), "rows"), "key", "left").withColumn("rows", F.coalesce("hot", "rows"))
     each = each.select("h", (1 / F.coalesce("rows", F.lit(1))).alias("part"), F.explode(terms(F.col("text"))).alias("term"))
     return each.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n"), F.min("h").alias("h"))
 

@@ -19,6 +19,8 @@ _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 PIECE = 1 << 20
 #: Nodes with more than one link in so many are joined from memory; there are fewer than twice as many of them.
 HUB = 1000
+#: Bits of a sieve: 2 MB, whatever the corpus, as at most 2^18 rows of 64 bits.
+SIEVE = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,20 @@ def packed(rows: DataFrame, **keys: Column) -> DataFrame:
     return rows.select(F.struct("*").alias("row"), *[key.alias(name) for name, key in keys.items()])
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is no ``key`` of ``wanted``, nulls being equal; an exact join may follow.
+
+    The sieve is of a fixed size, so it is sent to all tasks however many keys are wanted; from
+    some 16 million distinct keys on it lets most rows through.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    bit = F.expr("shiftleft(1L, cast(_cell % 64 as int))")
+    place = F.expr("cast(_cell div 64 as int)")
+    bits = wanted.select(cell.alias("_cell")).groupBy(place.alias("_at")).agg(F.bit_or(bit).alias("_bits"))
+    held = rows.withColumn("_cell", cell).withColumn("_at", place).join(F.broadcast(bits), "_at")
+    return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _beside(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
     """``u, v, m``: ``rows`` (u, v) with their ``least`` (u, m, n); rows of hubs, n of them each, stay where they are."""
     hubs = least.where(F.col("n") * HUB > links).select("u", "m")
@@ -91,4 +107,4 @@ def running_before(rows: DataFrame, by: list[str], segment: Column, order: list[
     return summed.join(starts, [*by, "_segment"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_segment", "_start", "_inside")
 
 
-__all__ = ["WORD", "SPACE", "table", "packed", "pieces", "components", "running_before", "staged"]
+__all__ = ["WORD", "SPACE", "table", "packed", "pieces", "sieved", "components", "running_before", "staged"]

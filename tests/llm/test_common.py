@@ -60,3 +60,13 @@ def test_a_large_star_is_not_gathered(spark):
     rows = common._beside(leaves.select(F.col("a").alias("u"), F.col("b").alias("v")).repartition(8), least, 1_000_000)
     spread = rows.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in spread) < 200_000
+
+
+def test_sieve_loses_no_wanted_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE", 256)
+    rows = spark.createDataFrame([(n, f"t{n}") for n in range(400)] + [(None, "none")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(n,) for n in range(0, 400, 40)] + [(None,), (7,), (7,)], "doc_id long")
+    got = {r.doc_id for r in common.sieved(rows, wanted, "doc_id").collect()}
+    assert {*range(0, 400, 40), 7, None} <= got and len(got) < 100
+    assert common.sieved(rows, wanted.limit(0), "doc_id").collect() == []
+    assert common.sieved(rows, rows, "doc_id").count() == 401

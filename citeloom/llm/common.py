@@ -44,18 +44,35 @@ def packed(rows: DataFrame, **keys: Column) -> DataFrame:
     return rows.select(F.struct("*").alias("row"), *[key.alias(name) for name, key in keys.items()])
 
 
+def _held(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_hit``: whether the sieve of the keys of ``wanted`` lets the row through."""
+    cell = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    bit = F.expr("shiftleft(1L, cast(_cell % 64 as int))")
+    place = F.expr("cast(_cell div 64 as int)")
+    bits = wanted.select(cell.alias("_cell")).groupBy(place.alias("_at")).agg(F.bit_or(bit).alias("_bits"))
+    held = rows.withColumn("_cell", cell).withColumn("_at", place).join(F.broadcast(bits), "_at", "left")
+    return held.select(*rows.columns, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)).alias("_hit"))
+
+
 def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``rows`` without most of those whose ``key`` is no ``key`` of ``wanted``, nulls being equal; an exact join may follow.
 
     The sieve is of a fixed size, so it is sent to all tasks however many keys are wanted; from
     some 16 million distinct keys on it lets most rows through.
     """
-    cell = F.pmod(F.xxhash64(key), F.lit(SIEVE))
-    bit = F.expr("shiftleft(1L, cast(_cell % 64 as int))")
-    place = F.expr("cast(_cell div 64 as int)")
-    bits = wanted.select(cell.alias("_cell")).groupBy(place.alias("_at")).agg(F.bit_or(bit).alias("_bits"))
-    held = rows.withColumn("_cell", cell).withColumn("_at", place).join(F.broadcast(bits), "_at")
-    return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    return _held(rows, wanted, key).where("_hit").drop("_hit")
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose ``keys`` are not in ``gone`` (the same columns, nulls being equal).
+
+    Rows that the sieve of ``gone`` stops are kept where they are; only the others are exchanged
+    for the exact join.
+    """
+    held = _held(rows, gone, keys[0])
+    same = " and ".join(f"r.{k} <=> g.{k}" for k in keys)
+    suspects = held.where("_hit").alias("r").join(gone.alias("g"), F.expr(same), "left_anti")
+    return held.where("not _hit").unionByName(suspects).select(*rows.columns)
 
 
 def _beside(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
@@ -107,4 +124,4 @@ def running_before(rows: DataFrame, by: list[str], segment: Column, order: list[
     return summed.join(starts, [*by, "_segment"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_segment", "_start", "_inside")
 
 
-__all__ = ["WORD", "SPACE", "table", "packed", "pieces", "sieved", "components", "running_before", "staged"]
+__all__ = ["WORD", "SPACE", "table", "packed", "pieces", "sieved", "without", "components", "running_before", "staged"]

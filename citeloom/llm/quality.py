@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import packed, pieces, staged
+from citeloom.llm.common import packed, pieces, staged, without
 
 #: Most labelled rows that trees are grown on: those with the least hash of doc_id.
 SAMPLE = 40_000
@@ -187,5 +187,6 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted 0; all columns stay. Rows of one doc_id stay if any of them is accepted."""
-    good = staged(scored(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("good")).distinct())
-    return packed(docs, id=F.col("doc_id").cast("long")).join(good, F.col("id").eqNullSafe(F.col("good")), "left_semi").select("row.*")
+    judged = scored(docs, labels).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("predicted").alias("good"))
+    bad = staged(judged.where("good = 0").select("id"))
+    return without(packed(docs, id=F.col("doc_id").cast("long")), bad, ["id"]).select("row.*")

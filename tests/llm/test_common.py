@@ -70,3 +70,6 @@ def test_sieve_loses_no_wanted_row(spark, monkeypatch):
     assert {*range(0, 400, 40), 7, None} <= got and len(got) < 100
     assert common.sieved(rows, wanted.limit(0), "doc_id").collect() == []
     assert common.sieved(rows, rows, "doc_id").count() == 401
+    for gone in (wanted, rows.select("doc_id"), wanted.limit(0)):
+        ids = {r.doc_id for r in gone.collect()}
+        assert sorted(r.text for r in common.without(rows, gone, ["doc_id"]).collect()) == sorted(r.text for r in rows.collect() if r.doc_id not in ids)

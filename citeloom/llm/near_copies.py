@@ -1,9 +1,11 @@
 """Near-copied documents: five-word shingles with a Jaccard similarity of at least 0.8.
 
-Candidates are found by MinHash bands: a pair at 0.8 shares one of the 32 bands of five values
-but for 3 in a million, a likelier one sooner. Texts that share a band form groups; inside each
-group every pair that isn't joined yet is compared by its whole shingle sets, so that a link is
-exact. Large groups are compared block by block.
+Candidates are found by SimHash: each text's 64-bit fingerprint over its five-word shingles meets
+all others within three bits at the anchors of ``simhash``. Three bits hold the nearest copies
+only (at 0.8 about 10 bits differ), so MinHash bands add the wider ones: a pair at 0.8 shares one of the
+32 bands of five values but for 3 in a million, a likelier one sooner. Texts that are linked by
+either form groups; inside each group every pair that isn't joined yet is compared by its whole
+shingle sets, so that a link is exact. Large groups are compared block by block.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm import simhash
 from citeloom.llm.common import components, packed, pieces, sieved, staged, without
 
 SEED = 42
@@ -25,6 +28,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 32, 5
 #: Most texts of one block of a group; two blocks meet in one comparison.
 BLOCK = 256
+#: Rows whose shingle sets are held and sent on at a time.
+SLICE = 512
 
 _draw = np.random.default_rng(SEED)
 TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,14 +69,16 @@ def bands(sketch: np.ndarray) -> list[int]:
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = (shingles(x.as_py()) for x in batch.column("text"))
-        nodes, keys = zip(*((node(s), bands(s)) for s in sets)) if batch.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "node", "bands"])
+        nodes, fps, keys = zip(*((node(s), simhash.of_set(s), bands(s)) for s in sets)) if batch.num_rows else ((), (), ())
+        columns = [batch.column("doc_id"), batch.column("h"), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "sketch"])
+        for at in range(0, batch.num_rows, SLICE):
+            sets = [shingles(x.as_py()) for x in batch.column("text").slice(at, SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "sketch"])
 
 
 def trees(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
@@ -118,12 +125,23 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows, mark)
 
 
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between ``nodes`` (node, fp) whose fingerprints are within the threshold of ``simhash``."""
+    heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = nodes.join(heads, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = simhash.links(heads.select("fp"))
+    for end in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"_{end}")), end)
+    return equal.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def links(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """Links ``a, b`` between distinct shingle sets (column ``node`` of ``marked``) that join all similar enough."""
-    keys = marked.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
-    keys = staged(keys)
+    nodes = staged(marked.where(F.size("bands") > 0).groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    keys = nodes.select("node", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("_n")).where("_n > 1")
-    groups = staged(components(keys.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("root", "group"))
+    banded = keys.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    groups = staged(components(banded.unionByName(_by_simhash(nodes.select("node", "fp")))).withColumnRenamed("root", "group"))
     counts = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_g"))
     placed = staged(groups.join(counts, "group").withColumn("_b", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_g")).cast("int")))
     # one row stands for all of equal sets; rows without an id are looked through, whichever it is
@@ -149,7 +167,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def _named(docs: DataFrame) -> DataFrame:
     """``doc_id, h, component_id`` with h a hash of the text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    marked = staged(texts.mapInArrow(_marked, "doc_id long, h long, node long, bands array<long>"))
+    marked = staged(texts.mapInArrow(_marked, "doc_id long, h long, node long, fp long, bands array<long>"))
     classes = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first")))
     roots = components(links(texts, marked))
     rooted = staged(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -59,6 +59,14 @@ def fingerprint(data: bytes | None) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
+def of_set(hashes: np.ndarray) -> int:
+    """The SimHash of distinct shingles given by their hashes, as a signed 64-bit number; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 16384):
+        ones += np.unpackbits(hashes[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(x.as_py()) for x in batch.column("text")]

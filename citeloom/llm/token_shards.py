@@ -33,6 +33,8 @@ KEY = 20240229
 ROUNDS = 6
 #: Most bytes of a vocabulary file: it goes to every task.
 VOCABULARY = 64 << 20
+#: Rows whose tokens are held and sent on at a time.
+SLICE = 512
 
 PIECES = "seq long, slot long, pos int, doc_id long, piece binary"
 SEQUENCES = "shard int, slot long, offset long, seq long, n_tokens int, doc_ids array<long>, tokens binary"
@@ -72,7 +74,7 @@ def _tokens(ranks, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value).encode_to_numpy
         segment, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             found = [np.append(encode(x.as_py() or "", disallowed_special=()), end).astype("<u2").tobytes() for x in batch.column("text")]
             lengths = np.array([len(x) // 2 for x in found], np.int64)
             starts = before + np.cumsum(lengths) - lengths
@@ -85,7 +87,7 @@ def _tokens(ranks, end: int):
 
 def _pieces(length: int, count: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             seqs, places, docs, parts = [], [], [], []
             for doc, start, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("tokens")):
                 data, at = tokens.as_py(), 0

@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles alike to 0.8 or more."""
+    """The first document of each group of near copies: SimHash and MinHash candidates, five-word shingles alike to 0.8 or more."""
     return near_copies.keep_first(docs)
 
 
@@ -38,7 +38,7 @@ def token_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("near-dedup of five-word shingles", one_of_near_copies),
+    ("SimHash near-dedup of five-word shingles", one_of_near_copies),
     ("benchmark decontamination", without_benchmark),
     ("mixing sources to target weights", mixed),
     ("token-ID / binary output", token_sequences),

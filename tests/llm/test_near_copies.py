@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from citeloom.llm import near_copies
+from citeloom.llm import near_copies, simhash
 from tests.llm.cases import docs, odd_rows
 
 
@@ -59,6 +59,23 @@ def test_stage_drops_edited_copies(spark):
     assert {r.doc_id for r in out.collect()} == {i + k for i in range(30) for k in (0, 200)}
 
 
+def test_simhash_finds_candidates(spark):
+    """Pairs within three bits of SimHash are compared and linked even where no band is shared."""
+    pick, texts, expected = random.Random(5), [], set()
+    for _ in range(30):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(600)]
+        pair = [" ".join(words), " ".join(words[:300] + ["new"] + words[301:])]
+        sets = [near_copies.shingles(x.encode()) for x in pair]
+        if ((simhash.of_set(sets[0]) ^ simhash.of_set(sets[1])) % 2**64).bit_count() <= simhash.THRESHOLD:
+            expected.add(frozenset(near_copies.node(s) for s in sets))
+        texts += pair
+    assert 10 < len(expected) <= 30
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) text", "0L h")
+    marked = frame.mapInArrow(near_copies._marked, "doc_id long, h long, node long, fp long, bands array<long>")
+    alone = near_copies.staged(marked.selectExpr("doc_id", "h", "node", "fp", "array(node) bands"))
+    assert {frozenset(r) for r in near_copies.links(frame, alone).collect()} == expected
+
+
 def test_odd_rows(spark):
     frame = docs(spark, odd_rows())
     found = near_copies.near_copies(frame).collect()

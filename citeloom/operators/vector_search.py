@@ -20,8 +20,12 @@ from citeloom.session import staged
 DIGITS = 9
 #: Query vectors above this many bytes are not broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Rows of one block on either side of the distributed product.
+#: Rows on either side that are multiplied at a time.
 ITEM_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Bytes of vectors of one block on either side of the distributed product: each row is copied to all blocks of the other side.
+BLOCK_BYTES = 16 << 20
+#: More than rounding to ``DIGITS`` can move a score.
+SLACK = 1e-8
 #: Width in radians of the shells that a list is cut into.
 SHELL = 0.1
 HITS = "query_id string, chunk_id string, score double"
@@ -38,22 +42,34 @@ def _matrix(column: pd.Series, dim: int | None = None) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Top-k items of each query inside one block (ties by item id kept exactly)."""
-    scores = np.round(queries @ items.T, DIGITS)
+    """Top-k items of each query inside one block (ties by item id kept exactly).
+
+    Zero rows all score 0, so only the first k of them are looked at. Tiles are multiplied one by one;
+    past the first, only scores that reach a query's k-th so far are looked at.
+    """
     order = np.argsort(item_ids)  # stable ranking by (score desc, id)
-    scores, ids = scores[:, order], item_ids[order]
-    if len(ids) > k:
-        # everything at or above the k-th score, then the stable cut
-        floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-        rows, cols = np.nonzero(scores >= floor[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    values = scores[rows, cols]
-    rank = np.lexsort((cols, -values, rows))
-    rows, cols, values = rows[rank], cols[rank], values[rank]
-    starts = np.searchsorted(rows, np.arange(len(query_ids)))
-    keep = np.arange(len(rows)) - starts[rows] < k
-    return pd.DataFrame({"query_id": query_ids[rows[keep]], "chunk_id": ids[cols[keep]], "score": values[keep]})
+    items, ids = items[order], item_ids[order]
+    zero = ~items.any(axis=1)
+    keep = ~zero | (np.cumsum(zero) <= k)
+    items, ids = items[keep], ids[keep]
+    rows, cols, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(query_ids), -np.inf)
+    for first in range(0, len(ids), ITEM_BLOCK):
+        scores = queries @ items[first : first + ITEM_BLOCK].T
+        least = floor
+        if first == 0 and scores.shape[1] > k:
+            # everything at or above the k-th score, then the stable cut
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        near, at = np.nonzero(scores >= (least - SLACK)[:, None])
+        rows, cols = np.append(rows, near), np.append(cols, at + first)
+        values = np.append(values, np.round(scores[near, at], DIGITS))
+        rank = np.lexsort((cols, -values, rows))
+        rows, cols, values = rows[rank], cols[rank], values[rank]
+        starts = np.searchsorted(rows, np.arange(len(query_ids)))
+        nth = np.arange(len(rows)) - starts[rows]
+        floor[rows[nth == k - 1]] = values[nth == k - 1]
+        rows, cols, values = rows[nth < k], cols[nth < k], values[nth < k]
+    return pd.DataFrame({"query_id": query_ids[rows], "chunk_id": ids[cols], "score": values})
 
 
 def _first_k(hits: DataFrame, k: int) -> DataFrame:
@@ -106,10 +122,27 @@ def _blocks_of(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
     return rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
 
+def _with_direction(items: DataFrame, k: int, key: str) -> DataFrame:
+    """``items`` without null and zero vectors but the first ``k`` by id: they score 0 with any query."""
+    real = F.coalesce(F.exists("embedding", lambda x: x.isNull() | (x != 0)), F.lit(False))
+    first = Window.partitionBy(key).orderBy("chunk_id")
+    some = items.where(~real).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    return items.where(real).unionByName(some)
+
+
+def _rows(vectors: DataFrame, column: str, least: int) -> int:
+    """Rows of a block of ``BLOCK_BYTES``, of the longest vector's size each; ``least`` at least."""
+    longest = vectors.agg(F.max(F.size(column))).first()[0]
+    return max(least, BLOCK_BYTES // (8 * max(longest or 1, 1)))
+
+
 def _topk_blocks(queries: DataFrame, items: DataFrame, k: int, key: str) -> DataFrame:
     """Distributed product: every (item block, query block) of a key is one bounded task."""
+    queries = staged(queries)
+    items = _with_direction(staged(items.select(key, "chunk_id", "embedding")), k, key)
     # by column name: both tables may come from one source
-    counts = _blocks_of(items, key, ITEM_BLOCK, "_ni").join(_blocks_of(queries, key, QUERY_BLOCK, "_nq"), key)
+    item_rows, query_rows = _rows(items, "embedding", ITEM_BLOCK), _rows(queries, "query_vec", QUERY_BLOCK)
+    counts = _blocks_of(items, key, item_rows, "_ni").join(_blocks_of(queries, key, query_rows, "_nq"), key)
 
     def spread(rows: DataFrame, id_col: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         numbered = rows.join(counts.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key")).drop("_key")
@@ -122,14 +155,10 @@ def _topk_blocks(queries: DataFrame, items: DataFrame, k: int, key: str) -> Data
     def run(item: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if item.empty or query.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        asked = _matrix(query["query_vec"])
-        return _best(
-            asked,
-            query["query_id"].to_numpy(dtype=object),
-            _matrix(item["embedding"], asked.shape[1]),
-            item["chunk_id"].to_numpy(dtype=object),
-            k,
-        )
+        asked, names = _matrix(query["query_vec"]), query["query_id"].to_numpy(dtype=object)
+        block, ids = _matrix(item["embedding"], asked.shape[1]), item["chunk_id"].to_numpy(dtype=object)
+        tiles = range(0, len(names), QUERY_BLOCK)
+        return pd.concat([_best(asked[at : at + QUERY_BLOCK], names[at : at + QUERY_BLOCK], block, ids, k) for at in tiles], ignore_index=True)
 
     keys = [key, "_ib", "_qb"]
     fresh = right.toDF(*right.columns)

@@ -273,7 +273,8 @@ def rule_topk(intents: DataFrame, facilities: DataFrame, k: int = 3) -> DataFram
         .select("shape", "fragment", "facility_id", "ordinal", F.lit(SOFT_SCORE).alias("score"), F.lit(True).alias("soft"))
     )
     soft = words.select("query_id", "shape", "fragment").join(loose, ["shape", "fragment"]).select(found)
-    every = owned.unionByName(named).unionByName(soft)
+    # one exchange for the candidates and for their order
+    every = owned.unionByName(named).unionByName(soft).repartition("query_id")
     best = every.groupBy("query_id", "facility_id", "ordinal").agg(
         F.max("score").alias("score"), F.max_by("soft", "score").alias("soft")
     )

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from citeloom.functions import text
 from citeloom.session import staged
 
-GRAM = 3
+#: Lengths of the substrings by which terms are looked up: the greatest that a term holds, at least half of it up to 48.
+GRAMS = (1, 2, 3, 6, 12, 24)
 #: Rows and bytes a key table may have to be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Dictionaries up to this size are tried term by term.
 FEW_TERMS = 64
+#: Bits of a sieve: 4 MB, whatever the tables, as rows of 64 bits.
+SIEVE = 1 << 25
 
 
 def rarest_key(wanted: DataFrame, frequency: DataFrame, owner: list[str], key: list[str]) -> DataFrame:
@@ -44,6 +47,19 @@ def fits_broadcast(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return size["rows"] <= limit and size["bytes"] <= BROADCAST_BYTES
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not in ``wanted``; an exact join follows.
+
+    The sieve is of a fixed size, so it is sent to all tasks however many keys are wanted.
+    """
+    cell = F.pmod(F.xxhash64(*keys), F.lit(SIEVE))
+    bit = F.expr("shiftleft(1L, cast(_cell % 64 as int))")
+    place = F.expr("cast(_cell div 64 as int)")
+    bits = wanted.select(cell.alias("_cell")).groupBy(place.alias("_at")).agg(F.bit_or(bit).alias("_bits"))
+    held = rows.withColumn("_cell", cell).withColumn("_at", place).join(F.broadcast(bits), "_at")
+    return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def substring_pairs(
     texts: DataFrame,
     terms: DataFrame,
@@ -57,8 +73,9 @@ def substring_pairs(
     """Distinct ``(*by, text_id, term)`` with the term contained in the text.
 
     ``texts(*by, text_id, text_col)`` and ``terms(*by, term_col)``. Each term is looked
-    up by its rarest ``GRAM``-character substring (the term itself when shorter). Up to
-    ``broadcast_rows`` terms the texts are read in place; beyond that both sides shuffle.
+    up by its rarest substring of the greatest length of ``GRAMS`` that it holds; a term with a
+    substring that no text has is dropped before. Up to ``broadcast_rows`` terms the texts are
+    read in place; beyond that both sides shuffle, the texts' substrings behind a sieve.
     A dictionary of a few terms is tried term by term instead.
     """
     terms = terms.select(*by, term_col).filter(F.length(term_col) > 0).distinct()
@@ -68,19 +85,24 @@ def substring_pairs(
             every = F.array(*[F.lit(t) for t in sorted(few)]).cast("array<string>")
             inside = F.filter(every, lambda t: F.col(text_col).contains(t))
             return texts.select(text_id, F.explode(inside).alias(term_col))
-    short = [F.when(F.length(term_col) == n, F.array(term_col)) for n in range(1, GRAM)]
-    wanted = staged(terms.withColumn("_gram", F.explode(F.coalesce(*short, text.grams(F.col(term_col), GRAM)))))
-    needed = wanted.select(*by, "_gram").distinct()
-    # only the gram lengths that occur: shorter ones serve terms that short
+    longest = [F.when(F.length(term_col) >= n, text.grams(F.col(term_col), n)) for n in reversed(GRAMS)]
+    parts = terms.withColumn("_parts", F.coalesce(*longest)).withColumn("_n", F.size("_parts"))
+    wanted = staged(parts.withColumn("_gram", F.explode("_parts")).drop("_parts"))
+    # only the gram lengths that occur
     sizes = sorted(r[0] for r in wanted.select(F.length("_gram")).distinct().collect())
-    grams = F.explode(F.concat(*[text.grams(F.col(text_col), n) for n in sizes or [GRAM]])).alias("_gram")
-    offered = texts.select(*by, text_id, grams).join(needed, [*by, "_gram"], "left_semi")
+    grams = F.explode(F.concat(*[text.grams(F.col(text_col), n) for n in sizes or [1]])).alias("_gram")
+    # counted where the texts are: what travels is one row per gram and task
+    offered = sieved(texts.select(*by, grams), wanted, [*by, "_gram"])
     frequency = offered.groupBy(*by, "_gram").agg(F.count("*").alias("df"))
-    anchors = staged(rarest_key(wanted, frequency, [*by, term_col], [*by, "_gram"]))
+    of_term = Window.partitionBy(*by, term_col)
+    met = wanted.join(frequency, [*by, "_gram"]).withColumn("_met", F.count("*").over(of_term)).filter("_met = _n")
+    rarest = F.row_number().over(of_term.orderBy("df", *by, "_gram"))
+    anchors = staged(met.withColumn("_rank", rarest).filter("_rank = 1").select(*by, term_col, "_gram"))
     if fits_broadcast(anchors, broadcast_rows):
         carried = texts.select(*by, text_id, F.col(text_col).alias("_text"), grams)
         candidates = carried.join(F.broadcast(anchors), [*by, "_gram"])
     else:
+        offered = sieved(texts.select(*by, text_id, grams), anchors, [*by, "_gram"])
         found = salted_join(offered, anchors, [*by, "_gram"], F.col(text_id), salts)
         body = texts.select(*by, text_id, F.col(text_col).alias("_text"))
         candidates = found.join(body, [*by, text_id])

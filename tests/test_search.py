@@ -25,6 +25,19 @@ def test_substring_pairs_both_ways(spark):
         assert sorted(map(tuple, got.collect())) == expected
 
 
+def test_terms_that_no_text_can_hold_find_no_candidates(spark, monkeypatch):
+    """Names that share most short substrings: only those whose substrings all occur are looked up."""
+    names = [f"Customer#{i:09d}" for i in range(1000, 3000)]
+    texts = [(f"t{i}", f"about Customer#{i:09d} and more") for i in (1000, 1234, 2999)]
+    a, b = spark.createDataFrame(texts, "id string, body string"), spark.createDataFrame([(n,) for n in names], "term string")
+    kept, staged = [], matching.staged
+    monkeypatch.setattr(matching, "staged", lambda rows: kept.append(staged(rows)) or kept[-1])
+    for limit in (100_000, 1):
+        got = matching.substring_pairs(a, b, "id", "body", "term", [], broadcast_rows=limit)
+        assert sorted(map(tuple, got.collect())) == sorted((i, body[6:24]) for i, body in texts)
+        assert kept[-1].count() == 3  # the keys that are looked up
+
+
 def _vectors(spark, n, ties=True):
     rng = np.random.default_rng(4)
     rows = []
@@ -55,6 +68,28 @@ def test_vector_topk_paths(spark, monkeypatch):
     assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in blocked.collect()) == sorted(expected)
 
 
+def test_tiles_of_one_block(monkeypatch):
+    rng = np.random.default_rng(5)
+    items, queries = rng.integers(-2, 3, (300, 4)).astype(float), rng.integers(-2, 3, (20, 4)).astype(float)
+    items[::3] = 0
+    ids = np.array([f"c{i * 7919 % 1000}" for i in range(300)], dtype=object)
+    monkeypatch.setattr(vector_search, "ITEM_BLOCK", 16)
+    found = vector_search._best(queries, np.arange(20), items, ids, 5)
+    expected = [(q, c, -s) for q in range(20) for s, c in sorted((-float(queries[q] @ v), c) for v, c in zip(items, ids))[:5]]
+    assert [tuple(r) for r in found.itertuples(index=False)] == expected
+
+
+def test_blocks_take_no_more_zero_vectors_than_can_rank(spark, monkeypatch):
+    rows = [("w", f"c{i:04d}", None if i % 4 == 1 else [0.0] * 4 if i % 4 else [1.0, float(i), -3.0, 2.0]) for i in range(400)]
+    items = spark.createDataFrame(rows, ITEM)
+    sizes, blocks_of = [], vector_search._blocks_of
+    monkeypatch.setattr(vector_search, "_blocks_of", lambda rows, *a: sizes.append(rows.count()) or blocks_of(rows, *a))
+    asked = _asked(items).limit(40)
+    whole, blocked = (_rows(vector_search.vector_topk(asked, items, 5, broadcast_bytes=n)) for n in (1 << 20, 0))
+    assert whole == blocked and len(whole) == 200
+    assert sizes == [105, 40]
+
+
 ITEM = "workspace_id string, chunk_id string, embedding array<float>"
 
 

@@ -250,7 +250,9 @@ def keyword_topk(spark, sf):
 def keyword_topk_indexed(spark, sf):
     """The same from stored postings: only folders of asked terms are read, and no chunk text."""
     path = f"{shared_dir(spark)}/postings/{uuid.uuid4().hex}"
-    tables.write_postings(retrieval.build_postings(_scope(spark, sf)), path)
+    # the chunks are read once, so they aren't stored before
+    scope = retrieval.searchable(corpus_chunks(spark, sf), view(spark, sf, "docs"))
+    tables.write_postings(retrieval.build_postings(scope), path)
     asked = view(spark, sf, "queries")
     terms = asked.select(F.explode(text.tokens(F.col("query_text"))).alias("term"))
     return _shown(retrieval.keyword_topk_indexed(asked, tables.read_postings(spark, path, terms)))

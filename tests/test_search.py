@@ -231,3 +231,14 @@ def test_hybrid_retrieve_small(spark):
     got = retrieval.hybrid_retrieve(queries, chunks, docs).orderBy("rank").collect()
     # d1: vector and title 1.0, query inside the title: hit .06 and title .18; d2: keyword 1.0, hit in the snippet
     assert [(r["chunk_id"], r["score"], r["ref"]) for r in got] == [("d1:0", 1.24, "p.1"), ("d2:0", 1.06, "p.1")]
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_path):
+    from citeloom.sources import tables
+
+    rows = spark.range(0, 300, 1, 3).selectExpr("'w' as workspace_id", "concat('c', 299 - id) as chunk_id", "'a' as term", "1 as pos")
+    tables.write_postings(rows, str(tmp_path / "p"))
+    files = list((tmp_path / "p").glob("bucket=*/*.parquet"))
+    assert len(files) == 3 and len({f.parent for f in files}) == 1
+    found = tables.read_postings(spark, str(tmp_path / "p"), rows.select("term").distinct())
+    assert sorted(map(tuple, found.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))

@@ -168,6 +168,7 @@ def _profiles(facilities: DataFrame) -> DataFrame:
         "prefecture",
         "city",
         "service_type",
+        blob.alias("blob"),
         _mask([blob.contains(k) for k in FEATURE_KEYWORDS]).alias("mask"),
     )
 
@@ -224,7 +225,9 @@ def rule_topk(intents: DataFrame, facilities: DataFrame, k: int = 3) -> DataFram
 
     ``intents(query_id, query_text, prefecture, city, service_type, keywords)``.
     """
-    profiles = staged(_profiles(facilities))
+    # a facility table comes in few splits, and looking words up in its texts is the long part
+    cores = facilities.sparkSession.sparkContext.defaultParallelism
+    profiles = staged(_profiles(facilities).repartition(2 * cores, "facility_id", "ordinal"))
     scoped = soft_filter(intents, facilities).withColumn(
         "q_mask", _mask([F.array_contains("keywords", word) for word in FEATURE_KEYWORDS])
     )
@@ -241,7 +244,7 @@ def rule_topk(intents: DataFrame, facilities: DataFrame, k: int = 3) -> DataFram
     owned = scoped.select("query_id", "shape").join(base, "shape").select(found)
     # facilities named in the question
     names = substring_pairs(
-        scoped.select("query_id", "query_text"), facilities.select("name"), "query_id", "query_text", "name", []
+        scoped.select("query_id", "query_text"), profiles.select("name"), "query_id", "query_text", "name", []
     )
     named = (
         scoped.join(names, "query_id")
@@ -255,7 +258,7 @@ def rule_topk(intents: DataFrame, facilities: DataFrame, k: int = 3) -> DataFram
     words = scoped.join(weak, "shape").select(
         "query_id", "shape", "prefecture", "q_mask", F.explode(text.soft_fragments(F.col("query_text"))).alias("fragment")
     )
-    blobs = facilities.select("facility_id", search_blob().alias("blob"))
+    blobs = profiles.select("facility_id", "blob")
     inside = substring_pairs(blobs, words, "facility_id", "blob", "fragment", []).join(profiles, "facility_id")
     first = Window.partitionBy("fragment", "prefecture", "mask").orderBy("ordinal", "facility_id")
     inside = inside.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).select(

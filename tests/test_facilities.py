@@ -102,6 +102,16 @@ def test_rule_search_equals_scoring_everything(spark):
         assert ranked[f"q{i:02d}"] == naive_rank(q, naive_intent(q, rows), rows), q
 
 
+def test_facilities_of_one_split_are_searched_by_all_tasks(spark, monkeypatch):
+    table = spark.createDataFrame(sample(), SCHEMA).coalesce(1)
+    asked = spark.createDataFrame([("q", "road 番地 何か")], "query_id string, query_text string")
+    intents = facilities.parse_intent(asked, table)
+    parts, staged = [], facilities.staged
+    monkeypatch.setattr(facilities, "staged", lambda rows: parts.append((rows.columns, rows.rdd.getNumPartitions())) or staged(rows))
+    assert facilities.rule_topk(intents, table).count() == 3
+    assert [n for columns, n in parts if "mask" in columns] == [2 * spark.sparkContext.defaultParallelism]
+
+
 TURNS = [
     ("a", 1, "世田谷区のデイサービス"),
     ("a", 2, "送迎は"),

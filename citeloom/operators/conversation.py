@@ -53,8 +53,10 @@ class Coverage:
 
 
 def coverage(facilities: DataFrame) -> Coverage:
-    words = F.filter(F.array(*[F.lit(w) for w in FC.FEATURE_KEYWORDS]), lambda w: FC.search_blob().contains(w))
-    rows = facilities.select("prefecture", words.alias("words"))
+    # facilities that agree on prefecture and keywords count once
+    kinds = staged(FC.dealt_blobs(facilities, "facility_id", "ordinal", "prefecture").select("prefecture", FC.keyword_mask().alias("mask")).distinct())
+    words = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, w) for i, w in enumerate(FC.FEATURE_KEYWORDS)]))
+    rows = kinds.select("prefecture", words.alias("words"))
     first = rows.select("words", F.explode("words").alias("a"))
     pairs = first.select("a", F.explode("words").alias("b")).filter("a < b").distinct()
     local = rows.select("prefecture", F.explode("words").alias("a")).distinct()

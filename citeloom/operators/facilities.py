@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text
-from citeloom.operators.matching import substring_pairs
+from citeloom.operators.matching import FEW_TERMS, substring_pairs
 from citeloom.operators.vector_search import vector_topk
 from citeloom.session import staged
 
@@ -111,6 +111,19 @@ def own_intent(queries: DataFrame, facilities: DataFrame) -> DataFrame:
         .distinct()
         .unionAll(aliases.select("alias", F.lit("service"), "service_type"))
     )
+    query = F.col("query_text")
+    spoken = [feature_keywords(query).alias("keywords"), contact_requested(query).alias("contact_requested")]
+    few = terms.filter(F.length("term") > 0).limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        # a small dictionary is tried in place, the best term first: no turn is exchanged
+        ranked = sorted(few, key=lambda r: (-len(r["term"]), r["term"], r["value"]))
+
+        def first(slot: str) -> Column:
+            tried = [F.when(query.contains(r["term"]), F.lit(r["value"])) for r in ranked if r["slot"] == slot]
+            return F.when(F.col("query_id").isNotNull(), F.coalesce(*tried, F.lit(None).cast("string")))
+
+        slots = [first("prefecture").alias("prefecture"), first("city").alias("city"), first("service").alias("service_type")]
+        return queries.select(*queries.columns, *slots, *spoken)
     found = substring_pairs(queries, terms, "query_id", "query_text", "term", []).join(terms, "term")
     rank = F.struct((-F.length("term")).alias("n"), F.col("term").alias("t"), F.col("value").alias("v"))
 
@@ -120,15 +133,7 @@ def own_intent(queries: DataFrame, facilities: DataFrame) -> DataFrame:
     slots = found.groupBy("query_id").agg(
         best("prefecture").alias("prefecture"), best("city").alias("city"), best("service").alias("service_type")
     )
-    query = F.col("query_text")
-    return queries.join(slots, "query_id", "left").select(
-        *queries.columns,
-        "prefecture",
-        "city",
-        "service_type",
-        feature_keywords(query).alias("keywords"),
-        contact_requested(query).alias("contact_requested"),
-    )
+    return queries.join(slots, "query_id", "left").select(*queries.columns, "prefecture", "city", "service_type", *spoken)
 
 
 def merge_state(intents: DataFrame, states: DataFrame) -> DataFrame:
@@ -159,18 +164,20 @@ def _mask(has: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(has)])
 
 
+def dealt_blobs(facilities: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``blob``, dealt to all cores: a facility table comes in few splits, and its texts are made once but read often."""
+    cores = facilities.sparkSession.sparkContext.defaultParallelism
+    return facilities.select(*columns, search_blob().alias("blob")).repartition(2 * cores, "facility_id", "ordinal")
+
+
+def keyword_mask() -> Column:
+    """Which ``FEATURE_KEYWORDS`` are in ``blob``, as bits."""
+    return _mask([F.col("blob").contains(k) for k in FEATURE_KEYWORDS])
+
+
 def _profiles(facilities: DataFrame) -> DataFrame:
-    blob = search_blob()
-    return facilities.select(
-        "facility_id",
-        "ordinal",
-        "name",
-        "prefecture",
-        "city",
-        "service_type",
-        blob.alias("blob"),
-        _mask([blob.contains(k) for k in FEATURE_KEYWORDS]).alias("mask"),
-    )
+    columns = ["facility_id", "ordinal", "name", "prefecture", "city", "service_type"]
+    return dealt_blobs(facilities, *columns).withColumn("mask", keyword_mask())
 
 
 def _scope(kind: str, *columns: str) -> Column:
@@ -225,9 +232,7 @@ def rule_topk(intents: DataFrame, facilities: DataFrame, k: int = 3) -> DataFram
 
     ``intents(query_id, query_text, prefecture, city, service_type, keywords)``.
     """
-    # a facility table comes in few splits, and looking words up in its texts is the long part
-    cores = facilities.sparkSession.sparkContext.defaultParallelism
-    profiles = staged(_profiles(facilities).repartition(2 * cores, "facility_id", "ordinal"))
+    profiles = staged(_profiles(facilities))
     scoped = soft_filter(intents, facilities).withColumn(
         "q_mask", _mask([F.array_contains("keywords", word) for word in FEATURE_KEYWORDS])
     )

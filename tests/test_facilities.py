@@ -161,6 +161,29 @@ def _facility_ids(spark, rows, resolved):
     return found
 
 
+def test_small_dictionaries_are_tried_in_place(spark, monkeypatch):
+    """No turn is exchanged to find its slots, and the slots are those of the general lookup; a null id finds none."""
+    rows = sample() + [("F900", 900, "", None, "", None, "x", "03", "9-17", [], "2024", "https://x")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    asked = spark.createDataFrame([(f"q{i:02d}", q) for i, q in enumerate(QUERIES)] + [("n", None), (None, QUERIES[0])], "query_id string, query_text string")
+    here = facilities.own_intent(asked, table)
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(facilities, "FEW_TERMS", 0)
+    there = facilities.own_intent(asked, table)
+    assert sorted(here.collect(), key=repr) == sorted(there.collect(), key=repr)
+
+
+def test_facility_texts_are_made_by_all_cores(spark):
+    rows = sample()
+    table = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    dealt = facilities.dealt_blobs(table, "facility_id", "ordinal")
+    assert dealt.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    cover = conversation.coverage(table)
+    held = [(r[3], {w for w in facilities.FEATURE_KEYWORDS if any(w in part for part in (*r[2:7], r[8], *r[9]))}) for r in rows]
+    assert cover.local == {(p, w) for p, words in held for w in words}
+    assert cover.pairs == {(a, b) for _, words in held for a in words for b in words if a < b}
+
+
 def test_conversations_batch(spark):
     rows = sample()
     table = spark.createDataFrame(rows, SCHEMA)

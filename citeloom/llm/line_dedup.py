@@ -28,6 +28,8 @@ PER_EDIT = 12
 SEEN = 300_000
 #: Most lines on each side of one comparison.
 BLOCK = 512
+#: Lines of one key, none an index line so far, that a task holds.
+HELD = 100_000
 #: Bits of the sieve that lets through the lines whose texts are needed: 2 MB, whatever the corpus.
 SIEVE = 1 << 24
 
@@ -112,41 +114,29 @@ def _keys(threshold: int, per_edit: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key, those of keys that an index line and some other line have.
 
-    A key's rows can lie in several batches, or begin or end in another partition; the first and
-    last key of a partition pass unseen, as verification decides anyway.
+    Rows of the last key of a batch wait for the next one while they are of one line or none is
+    an index line; more than ``HELD`` different ones pass unseen, as verification decides anyway.
     """
-    names = ["key", "line", "own"]
-    held: dict[tuple[int, int], bool] = {}  # rows of the unfinished key: of one line, or none with an index line
-    last, alive = None, True
+    waiting, passed = None, None  # rows of the unfinished key, or that key, once its rows pass
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, line, own = batch.column("key").to_numpy(), batch.column("line").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
+        rows = [batch.column("key").to_numpy(), batch.column("line").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)]
+        key, line, own = rows if waiting is None else [np.concatenate(x) for x in zip(waiting, rows)]
         starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
         ends = np.append(starts[1:], len(key))
-        good = (np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)) & np.logical_or.reduceat(own, starts)
-        first = last is None
-        if first or key[0] == last:
-            lines = {*line[: ends[0]].tolist(), *(x for _, x in held)} if len(held) else None
-            good[0] |= first or alive or (lines is not None and len(lines) > 1 and (own[: ends[0]].any() or any(held.values())))
-        before = [(k, x, o) for (k, x), o in held.items()] if key[0] == last and good[0] else []
-        if key[0] != last or good[0]:
-            held = {}
+        indexed = np.logical_or.reduceat(own, starts)
+        good = (np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)) & indexed
+        good[0] |= key[0] == passed
+        waiting = None
+        if not good[-1]:
+            lines = np.unique(line[starts[-1] :])
+            good[-1] = len(lines) > HELD
+            if not good[-1]:
+                waiting = [np.full(len(lines), key[-1]), lines, np.full(len(lines), indexed[-1])]
+        passed = key[-1] if good[-1] else None
         keep = np.repeat(good, ends - starts)
-        joined = [np.concatenate([x[keep], np.array(extra, x.dtype)]) for x, extra in zip((key, line, own), zip(*before) if before else ([], [], []))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names)
-        alive, last = bool(good[-1]), key[-1]
-        if len(starts) > 1:
-            held = {}
-        if not alive:
-            tail = slice(starts[-1], ends[-1])
-            one = {}
-            for x, o in set(zip(line[tail].tolist(), own[tail].tolist())):
-                one[(int(last), x)] = o or one.get((int(last), x), False)
-            if any(one.values()):  # index lines come first: without one here, none follows
-                held |= one
-    if held:  # the last key may go on in the next partition
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([x for _, x in held], pa.int64()), pa.array(list(held.values()), pa.bool_())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, line, own)], ["key", "line", "own"])
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -297,12 +287,12 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def alive(keys: DataFrame) -> DataFrame:
-    """Rows of the keys that two different lines share, one of them as index line; more of a key that ends a range.
+    """Rows of the keys that two different lines share, one of them as index line.
 
-    Ranges and rows in them have one order, in which a key's index lines come first.
+    Keys are hashes, dealt by hash: ranges would make all keys a second time, to find their borders.
+    The task of a key that many lines share streams through its rows.
     """
-    order = ["key", F.col("own").desc(), "line"]
-    return keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, "key long, line long, own boolean")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, line long, own boolean")
 
 
 def links(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = 0) -> DataFrame:

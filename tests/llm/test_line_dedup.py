@@ -135,6 +135,29 @@ def test_probes_before_their_index_line_survive_range_borders(spark):
     assert found == {(x, o) for _, x, o in hot}
 
 
+def test_lines_are_keyed_once(spark):
+    """Ranges of keys would be found by a run over all lines before the one that deals them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, line, line == k) for k in range(3000) for line in (k, k + 1)]
+    frame = spark.createDataFrame(rows, "key long, line long, own boolean").mapInArrow(counted, "key long, line long, own boolean")
+    assert sorted(tuple(r) for r in line_dedup.alive(frame).collect()) == sorted(rows)
+    assert made.value == len(rows)
+
+
+def test_many_probes_wait_for_an_index_line_or_pass(monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", 5)
+    rows = [(1, 0, True), (2, 1, False), (2, 1, False), *((3, n, False) for n in range(9)), (3, 20, True), *((4, n, False) for n in range(4))]
+    batch = lambda r: pa.RecordBatch.from_pylist([dict(zip(("key", "line", "own"), r))], pa.schema([("key", pa.int64()), ("line", pa.int64()), ("own", pa.bool_())]))
+    out = [tuple(r.values()) for b in line_dedup._shared(map(batch, rows)) for r in b.to_pylist()]
+    assert out == [(3, n, False) for n in range(9)] + [(3, 20, True)]
+
+
 def test_different_short_lines_stay_in_the_query(spark, tmp_path):
     short = [str(n) for n in range(30)] + ["A.", "Of", "St.", "Ti.", "2021-03-04", "2021-03-05"]
     long = "a line of forty characters, about so far"

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citeloom.operators import conversation as C
+from citeloom.session import staged
 
 TURNS = "conv_id string, turn long, query_text string"
 PREPARED = (
@@ -62,7 +63,8 @@ def start_resolve(
     prepared = spark.readStream.schema(PREPARED + ", batch string").parquet(prepared_path).drop("batch")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        answers, _ = C.answer_turns(batch, facilities, k)
+        # the search reads the resolved turns several times: they are folded, and their state kept, once
+        answers, _ = C.answer_turns(staged(batch), facilities, k)
         answers.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
     return (

@@ -184,6 +184,13 @@ def test_keyword_search_paths(spark):
     assert max(r["rank"] for r in top) <= 2
 
 
+def test_one_term_is_scored_by_its_places(spark):
+    rows = [(["a"], "a b a c a"), (["a"], "b a"), (["b"], "b"), (["a", "b"], "a b a"), (["日"], "日 " * 12)]
+    frame = spark.createDataFrame([(t, body.split()) for t, body in rows], "terms array<string>, words array<string>")
+    plan = frame.select(retrieval._cover_density(F.col("words"), F.col("terms")).alias("d"))
+    assert [round(r["d"], 9) for r in plan.collect()] == [round(naive_density(body.split(), set(t)), 9) for t, body in rows]
+
+
 def test_alignment_bonus(spark):
     rows = [
         ("会計手順について", "会計手順.pdf", None, "x", 0.18),
